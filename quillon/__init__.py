@@ -1 +1,8 @@
 """quillon: document-intelligence and corpus operators expressed on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to executors by value, so a cluster needs no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
