@@ -77,11 +77,10 @@ def hot_runs(candidate: Column, start: Column, bits: float, kind: int, window: i
         return F.size(part) - F.size(F.array_remove(part, c))
 
     def step(state: Column, i: Column) -> Column:
-        entering, first = F.element_at(chars, i), F.greatest(i - window, F.lit(0)) + 1
+        entering, leaving = F.element_at(chars, i), F.element_at(chars, F.greatest(i - window, F.lit(1)))
         # the shared part of the windows before and after
         shared = F.slice(chars, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
         n_in = count(shared, entering)
-        leaving = F.element_at(chars, first)
         n_out = count(shared, leaving)
         s = state["s"] - F.when(i > window, _weight(n_out + 1) - _weight(n_out)).otherwise(F.lit(0.0)) + _weight(n_in + 1) - _weight(n_in)
         hot = (i >= window) & (most - s / window >= bits)
