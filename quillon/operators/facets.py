@@ -83,7 +83,7 @@ def parse_console(line: str) -> tuple[Filters, list[str]]:
 def to_console(f: Filters) -> str | None:
     """The console line that parse_console reads back as f, if there is one."""
     parts = [f"{n}:{_quoted(getattr(f, n))}" for n in ("lang", "country", "publisher", "source", "added_from", "added_to") if getattr(f, n) is not None]
-    parts += [f"type:{_quoted(f.doc_type)}"] * (f.doc_type is not None) + [f"topic:{_quoted(t)}" for t in f.topics] + [_quoted(w) for w in f.words]
+    parts += [f"type:{_quoted(t)}" for t in [f.doc_type] if t is not None] + [f"topic:{_quoted(t)}" for t in f.topics] + [_quoted(w) for w in f.words]
     parts += [f"year:{f.year}"] * (f.year is not None) + ["year:none"] * f.undated
     if f.year_from is not None or f.year_to is not None:
         parts.append(f"year:{f.year_from or ''}..{f.year_to or ''}")

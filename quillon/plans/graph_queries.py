@@ -11,12 +11,12 @@ from quillon.sources.library import read
 from quillon.sources.shared import keep
 
 # Ties between customers (even ids) and parts (odd ids) of dear lines; the layer is the order's priority.
-_TIES = "ties AS (SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, o_orderpriority AS layer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49)"
+_TIES = "ties AS (SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, o_orderpriority AS layer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 44)"
 _NEAR = _TIES + ", near AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM ties UNION ALL SELECT b, a FROM ties) WHERE a <> b)"
 
 
 def ties(spark, sf_dir) -> DataFrame:
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").filter("l_quantity >= 44")
     joined = l.join(o, l.l_orderkey == o.o_orderkey)
     return joined.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), F.col("o_orderpriority").alias("layer")).distinct()
 
@@ -70,7 +70,7 @@ def graph_associations(spark, sf_dir):
 @query("graph_path")
 def graph_path(spark, sf_dir):
     edges = ties(spark, sf_dir).withColumn("cost", F.lit(1.0))
-    start, end = graph.leads(edges).orderBy(F.desc("score"), "a", "b").select("a", "b").first()
+    start, end = graph.leads(edges, least=1).orderBy(F.desc("score"), "a", "b").select("a", "b").first() or (0, 1)
     found = graph.paths(edges, start, end)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
 
