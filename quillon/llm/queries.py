@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import chat, html_text, mixing, packing, quality_model, quality_rules, secret_scan, shingle_join, suffix_dedup, topk
+from quillon.llm import chat, html_text, mixing, packing, quality_model, quality_rules, secret_scan, shingle_join, sql, suffix_dedup, topk
 
 QUERIES = {
     "op1_quality_classifier": quality_model.op1_quality_classifier,
@@ -17,5 +17,8 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLE_SQL = {
+    "op4_topk": sql.TOP_K,
+    "op8_shingle_join": sql.NEAR_DUPLICATES,
+    "op9_quality_rules": sql.QUALITY_RULES,
     "op10_mixing": mixing.OP10_SQL,
 }
