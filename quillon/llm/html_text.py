@@ -39,6 +39,8 @@ _BARRIER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td
 SHARE = 0.8
 #: A page where the host's path yields less than this share of its own container's text keeps its own.
 AGREES = 0.5
+#: Places that each host's pages are dealt to when they meet the host's path.
+SALTS = 64
 
 
 def _words(value: str) -> list[str]:
@@ -211,7 +213,11 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     votes = container_votes(pages).groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     won = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.round("weight", 3), F.col("path"))).alias("__path")).withColumnRenamed("host", "__host")
-    with_path = pages.select("page_id", "url", "html", F.coalesce(host(F.col("url")), F.lit("")).alias("__h")).join(won, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__path")
+    # a host may hold a third of all pages: its path is dealt to SALTS places, and its pages among them
+    won = won.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    placed = pages.select("page_id", "url", "html", F.coalesce(host(F.col("url")), F.lit("")).alias("__h"), salt.alias("__salt"))
+    with_path = placed.join(won, (F.col("__h") == F.col("__host")) & (F.col("__salt") == F.col("__to")), "left").select("page_id", "url", "html", "__path")
 
     def run(batches):
         import pyarrow as pa
