@@ -18,7 +18,7 @@ PERCENT = 75
 BUCKET_ENTRIES = 4_000_000
 FLUSH_ENTRIES = 4_000_000
 _BATCH = 1 << 21
-#: Rounds of stars round changing hubs before all pairs that are left are tried.
+#: Rounds of stars round changing hubs that the shingles in shared cells decide.
 STAR_ROUNDS = 2
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
@@ -87,8 +87,8 @@ def set_key(hashes) -> int:
 
 
 def sketch_cells(hashes, slot: int, top: int):
-    """The non-empty cells of the parity sketch of a set in a slot, as one number each, and how many of them a linked set
-    shares at least.
+    """The non-empty cells of the parity sketch of a set in a slot, as one number each, how many of them a linked set
+    shares at least, and the shingles in each.
 
     Shingles go to cells by their hash; a cell is the XOR of its shingles, so it changes only if it holds shingles of the
     symmetric difference. That difference is at most farthest(), so of more non-empty cells some are the same in the
@@ -100,12 +100,13 @@ def sketch_cells(hashes, slot: int, top: int):
     at = ((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     value = np.bitwise_xor.reduceat(mix(hashes + np.uint64(_C[3])), begin)
+    held = np.diff(np.append(begin, len(hashes)))
     where, most = at[begin], farthest(len(hashes), top)
     need = len(where) - most
     if need < 1:
         empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), where)
-        where, value, need = np.concatenate([where, empty]), np.concatenate([value, np.zeros(len(empty), dtype=np.uint64)]), 1
-    return mix(value + where * np.uint64(_C[4]) + np.uint64(slot * _C[5] & (1 << 64) - 1)), need
+        where, value, held, need = np.concatenate([where, empty]), np.concatenate([value, np.zeros(len(empty), dtype=np.uint64)]), np.concatenate([held, np.zeros(len(empty), dtype=np.int64)]), 1
+    return mix(value + where * np.uint64(_C[4]) + np.uint64(slot * _C[5] & (1 << 64) - 1)), need, np.minimum(held, 255).astype(np.uint8)
 
 
 def _texts(batches):
@@ -122,16 +123,16 @@ def _texts(batches):
             yield batch.slice(low), texts[low:]
 
 
-def _packed(cells, index, keys, slots) -> bytes:
-    """Sorted 40-bit cells, the place of each cell's set, and the sets' keys and slots, compressed."""
+def _packed(cells, held, index, keys, slots) -> bytes:
+    """Sorted 40-bit cells, their shingles, the place of each cell's set, and the sets' keys and slots, compressed."""
     import numpy as np
     import zstandard
 
     order = np.argsort(cells)
-    cells, index = cells[order], index[order]
+    cells, held, index = cells[order], held[order], index[order]
     used, place = np.unique(index, return_inverse=True)
     planes = [((cells >> np.uint64(8 * i)) & np.uint64(255)).astype(np.uint8).tobytes() for i in range(4, -1, -1)]
-    body = [np.array([len(cells), len(used)], dtype=np.int64).tobytes(), *planes, place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), keys[used].tobytes(), slots[used].astype(np.uint8).tobytes()]
+    body = [np.array([len(cells), len(used)], dtype=np.int64).tobytes(), *planes, held.tobytes(), place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), keys[used].tobytes(), slots[used].astype(np.uint8).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
@@ -145,11 +146,12 @@ def _unpacked(blob: bytes):
     cells = np.zeros(n, dtype=np.uint64)
     for i in range(5):
         cells = (cells << np.uint64(8)) | raw[i * n : (i + 1) * n]
-    at = 5 * n
+    held = raw[5 * n : 6 * n]
+    at = 6 * n
     place = np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view(np.uint32).ravel()
     at += 4 * n
     keys = np.frombuffer(raw[at : at + 8 * used].tobytes(), dtype=np.uint64)
-    return cells, place, keys, raw[at + 8 * used : at + 9 * used]
+    return cells, held, place, keys, raw[at + 8 * used : at + 9 * used]
 
 
 def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
@@ -162,7 +164,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
         import pyarrow as pa
 
         powers, edges, seen = Powers(), bounds(), set()
-        cells, index, keys, slots, held = [], [], [], [], 0
+        cells, counts, index, keys, slots, held = [], [], [], [], [], 0
         names = ["bucket", "doc_id", "key", "n", "slots", "needs", "cells"]
         types = [pa.int32(), None, pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
 
@@ -170,7 +172,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, types, strict=True)], names=names)
 
         def flush():
-            every, of = np.concatenate(cells), np.repeat(np.arange(len(index)), index)
+            every, shingles, of = np.concatenate(cells), np.concatenate(counts), np.repeat(np.arange(len(index)), index)
             key, slot = np.array(keys, dtype=np.uint64), np.array(slots)
             bucket = (every >> np.uint64(40)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -178,7 +180,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
             for b in range(buckets):
                 own = order[cut[b] : cut[b + 1]]
                 if len(own):
-                    yield out([[b], pa.nulls(1, types[1]), [None], [None], [None], [None], [_packed(every[own] & np.uint64((1 << 40) - 1), of[own], key, slot)]])
+                    yield out([[b], pa.nulls(1, types[1]), [None], [None], [None], [None], [_packed(every[own] & np.uint64((1 << 40) - 1), shingles[own], of[own], key, slot)]])
 
         for part, texts in _texts(batches):
             types[1] = part.schema.field(0).type
@@ -190,11 +192,12 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
                 if n:
                     band = int(np.searchsorted(edges, n, side="right")) - 1
                     for slot in [band, *[band + 1] * (4 * n // 3 >= edges[band + 1])]:
-                        got, need = sketch_cells(hashes, slot, edges[slot + 1] - 1)
+                        got, need, inside = sketch_cells(hashes, slot, edges[slot + 1] - 1)
                         own_slots.append(slot)
                         needs.append(need)
                         if key not in seen:
                             cells.append(got)
+                            counts.append(inside)
                             index.append(len(got))
                             keys.append(key)
                             slots.append(slot)
@@ -205,7 +208,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
             yield out([rows[0], part.column(0), *rows[1:], pa.nulls(len(texts), pa.binary())])
             if held >= FLUSH_ENTRIES:
                 yield from flush()
-                cells, index, keys, slots, held = [], [], [], [], 0
+                cells, counts, index, keys, slots, held = [], [], [], [], [], 0
                 seen.clear()
         if held:
             yield from flush()
@@ -214,47 +217,51 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _matched(sketched: DataFrame, id_type: str) -> DataFrame:
-    """Documents as they are, and of each bucket the lists of sets that share cells: members, slot and how many cells."""
+    """Documents as they are, and of each bucket the lists of sets that share cells: members, slot, how many cells and
+    how many shingles are in them."""
 
     def run(bucket):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute
 
         is_doc = pa.compute.is_null(bucket["cells"])
         docs = bucket.filter(is_doc)
-        lists: dict[tuple, int] = {}
+        lists: dict[bytes, list[int]] = {}
         parts = [_unpacked(b) for b in bucket.filter(pa.compute.invert(is_doc))["cells"].to_pylist()]
         if parts:
-            named = np.concatenate([np.rec.fromarrays([k, s], dtype=[("k", "u8"), ("s", "u1")]) for _, _, k, s in parts])
+            named = np.concatenate([np.rec.fromarrays([k, s], dtype=[("k", "u8"), ("s", "u1")]) for *_, k, s in parts])
             ids, to = np.unique(named, return_inverse=True)
-            begin = np.cumsum([0, *(len(p[2]) for p in parts)])
+            begin = np.cumsum([0, *(len(p[3]) for p in parts)])
             cells = np.concatenate([p[0] for p in parts])
-            owner = np.concatenate([to[b + p[1].astype(np.int64)] for b, p in zip(begin, parts, strict=False)])
+            held = np.concatenate([p[1] for p in parts])
+            owner = np.concatenate([to[b + p[2].astype(np.int64)] for b, p in zip(begin, parts, strict=False)])
             order = np.argsort(cells, kind="stable")
             cells = cells[order]
             twin = np.zeros(len(cells) + 1, dtype=bool)
             twin[1:-1] = cells[1:] == cells[:-1]
             some = np.flatnonzero(twin[1:] | twin[:-1])
-            cells, owner = cells[some], owner[order[some]]
+            cells, owner, held = cells[some], owner[order[some]], held[order[some]]
             again = np.lexsort((owner, cells))
-            cells, owner = cells[again], owner[again]
+            cells, owner, held = cells[again], owner[again], held[again]
             fresh = np.ones(len(cells), dtype=bool)
             fresh[1:] = (cells[1:] != cells[:-1]) | (owner[1:] != owner[:-1])
-            cells, owner = cells[fresh], owner[fresh]
+            cells, owner, held = cells[fresh], owner[fresh], held[fresh]
             cut = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]])) if len(cells) else np.zeros(1, dtype=int)
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if b - a > 1:
-                    members = owner[a:b].tobytes()
-                    lists[members] = lists.get(members, 0) + 1
+                    found = lists.setdefault(owner[a:b].tobytes(), [0, 0])
+                    found[0] += 1
+                    found[1] += int(held[a])
         found = [np.frombuffer(m, dtype=np.int64) for m in lists]
         n, k = docs.num_rows, len(found)
         members = pa.array([None] * n + [ids["k"][m].astype(np.int64) for m in found], pa.list_(pa.int64()))
         slot = pa.array([None] * n + [int(ids["s"][m[0]]) for m in found], pa.int32())
-        times = pa.array([None] * n + list(lists.values()), pa.int32())
+        times, shingles = (pa.array([None] * n + [x[i] for x in lists.values()], pa.int32()) for i in (0, 1))
         columns = [pa.concat_arrays([*docs[c].chunks, pa.nulls(k, docs.schema.field(c).type)]) for c in ("doc_id", "key", "n", "slots", "needs")]
-        return pa.Table.from_arrays([*columns, members, slot, times], names=["doc_id", "key", "n", "slots", "needs", "members", "slot", "times"])
+        return pa.Table.from_arrays([*columns, members, slot, times, shingles], names=["doc_id", "key", "n", "slots", "needs", "members", "slot", "times", "shingles"])
 
-    return sketched.groupBy("bucket").applyInArrow(run, f"doc_id {id_type}, key long, n int, slots array<int>, needs array<int>, members array<long>, slot int, times int")
+    return sketched.groupBy("bucket").applyInArrow(run, f"doc_id {id_type}, key long, n int, slots array<int>, needs array<int>, members array<long>, slot int, times int, shingles int")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -302,8 +309,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start. A set joins the slot of its size band, and the next band's if a linked set
     may be there. Sets that share sketch cells are candidates; one that shares fewer cells in all than any linked set
-    would share with it is dropped. Candidates are then compared exactly, first with one hub per list, later with other
-    hubs, at last in all pairs that aren't in one component yet. Lists, links and labels stay in Spark.
+    would share with it is dropped. Cells that two sets share bound their intersection from below, which proves most
+    links round a list's hub; what isn't in one component then is compared exactly, first with hubs, at last in all
+    pairs of a list that are in different components. Lists, links and labels stay in Spark.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     chars = docs.select(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
@@ -314,31 +322,55 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     asked = known.filter("n > 0").groupBy("key").agg(F.first("slots").alias("slots"), F.first("needs").alias("needs"), F.min("doc_id").alias("doc_id"))
     asked = asked.select("key", "doc_id", F.explode(F.arrays_zip("slots", "needs")).alias("z")).select("key", "doc_id", F.col("z.slots").alias("slot"), F.col("z.needs").alias("need"))
     shared = lists.select("slot", "times", F.explode("members").alias("key")).groupBy("slot", "key").agg(F.sum("times").alias("shared"))
-    enough = materialize(shared.join(asked, ["slot", "key"]).filter("shared >= need").select("slot", "key", "doc_id"), "shingle-candidates")
-    rows = lists.select("list", "slot", F.explode("members").alias("key")).join(enough.select("slot", "key"), ["slot", "key"], "left_semi")
-    kept = rows.groupBy("list").agg(F.sort_array(F.collect_set("key")).alias("members")).filter("size(members) > 1").select("members").distinct()
-    kept = materialize(kept.withColumn("list", F.xxhash64("members")), "shingle-lists")
-    sets = _sets_of(docs, enough.select("doc_id", "key").distinct())
-    links = materialize(kept.sparkSession.createDataFrame([], "a long, b long"), "links")
-    tried = links
-    members = kept.select("list", F.explode("members").alias("key"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn:
-            label = components(links)
-            placed = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            open_ = placed.groupBy("list").agg(F.count_distinct("component").alias("k")).filter("k > 1").select("list")
-            placed = placed.join(open_, "list", "left_semi")
-        else:
-            placed = members.withColumn("component", F.col("key"))
-        if turn < STAR_ROUNDS:
-            hub = placed.groupBy("list").agg(F.min_by(F.struct("key", "component"), F.xxhash64(F.lit(turn), "key")).alias("hub"))
-            pairs = placed.join(hub, "list").filter("component <> hub.component").select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
-        else:
-            other = placed.select("list", F.col("key").alias("other"), F.col("component").alias("theirs"))
-            pairs = placed.join(other, "list").filter("key < other and component <> theirs").select(F.col("key").alias("a"), F.col("other").alias("b"))
-        pairs = materialize(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(verified(pairs, sets)), "links")
-        tried = tried.unionByName(pairs)
+    enough = materialize(shared.join(asked, ["slot", "key"]).filter("shared >= need").select("slot", "key", "doc_id", "need"), "shingle-candidates")
+    rows = lists.select("list", "slot", "times", "shingles", F.explode("members").alias("key")).join(enough.select("slot", "key"), ["slot", "key"], "left_semi")
+    kept = rows.groupBy("list", "slot", "times", "shingles").agg(F.sort_array(F.collect_set("key")).alias("members")).filter("size(members) > 1")
+    kept = materialize(kept.groupBy("slot", "members").agg(F.sum("shingles").alias("shingles"), F.sum("times").alias("times")).withColumn("list", F.xxhash64("slot", "members")), "shingle-lists")
+    size = known.filter("n > 0").groupBy("key").agg(F.first("n").alias("n")).join(enough.select("key").distinct(), "key", "left_semi")
+    size = materialize(size, "shingle-sizes")
+    links = materialize(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
+    members = kept.select("list", "slot", "times", "shingles", F.explode("members").alias("key")).join(enough.select("slot", "key", "need"), ["slot", "key"])
+
+    def open_lists(links: DataFrame) -> DataFrame:
+        """Members with their component, of lists that hold several. A set that has a link to another component shares as
+        many cells with other components as it needs for a link at all; those that don't are left out, linear work that
+        leaves hardly a list of sets which merely quote the same passage."""
+        label = components(links).withColumnRenamed("node", "key")
+        placed = members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        for _ in range(2):
+            placed = materialize(placed.join(several(placed), "list", "left_semi"), "open-lists")
+            enough_apart = placed.groupBy("slot", "key").agg(F.sum("times").alias("t"), F.first("need").alias("n")).filter("t >= n").select("slot", "key")
+            placed = placed.join(enough_apart, ["slot", "key"], "left_semi")
+        return materialize(placed.join(several(placed), "list", "left_semi"), "open-lists")
+
+    def several(placed: DataFrame) -> DataFrame:
+        return placed.groupBy("list").agg(F.count_distinct("component").alias("k")).filter("k > 1").select("list")
+
+    def with_hub(placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of each list's hub with its members in other components, and the shingles in the cells they share."""
+        hub = placed.groupBy("list").agg(F.min_by(F.struct("key", "component"), F.xxhash64(F.lit(turn), "key")).alias("hub"))
+        pairs = placed.join(hub, "list").filter("component <> hub.component").select("slot", "shingles", F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
+        return possible(pairs.groupBy("a", "b", "slot").agg(F.sum("shingles").alias("s")).groupBy("a", "b").agg(F.max("s").alias("shared")))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes allow a link, with the sizes."""
+        both = pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        return both.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+
+    placed = members.withColumn("component", F.col("key"))
+    for turn in range(STAR_ROUNDS):
+        proven = with_hub(placed, turn).filter(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared")))
+        links = materialize(links.unionByName(proven.select("a", "b")), "links")
+        placed = open_lists(links)
+    if not placed.isEmpty():
+        asked_sets = enough.select("doc_id", "key").distinct().join(placed.select("key").distinct(), "key", "left_semi")
+        sets = _sets_of(docs, asked_sets)
+        links = materialize(links.unionByName(verified(materialize(with_hub(placed, STAR_ROUNDS).select("a", "b"), "pairs"), sets)), "links")
+        placed = open_lists(links).select("list", "slot", "times", "key", "component", "need")
+        other = placed.select("list", F.col("key").alias("other"), F.col("component").alias("theirs"), F.col("need").alias("theirs_need"))
+        pairs = placed.join(other, "list").filter("key < other and component <> theirs").groupBy(F.col("key").alias("a"), F.col("other").alias("b"), "slot").agg(F.sum("times").alias("t"), F.max(F.greatest("need", "theirs_need")).alias("n"))
+        pairs = pairs.filter("t >= n").select("a", "b").distinct()
+        links = materialize(links.unionByName(verified(materialize(possible(pairs).select("a", "b"), "pairs"), sets)), "links")
     label = components(links).withColumnRenamed("node", "key")
     named = known.join(label, "key", "left").withColumn("__class", F.when(F.col("n") > 0, F.coalesce("component", "key")))
     smallest = named.filter("n > 0").groupBy(F.col("__class").alias("__of")).agg(F.min("doc_id").alias("__least"))
