@@ -13,7 +13,9 @@ BLOCK_ROWS = 16_384
 PACK_QUERIES = 4_096
 HEAD_DIMS = 16
 STEP = 1_024
-#: Vectors summed into one partial matrix table row per group of partitions.
+#: Share of pairs left by the bounds from which all of a step are multiplied at once.
+DENSE = 0.01
+#: Parts in which the partitions' moments are summed.
 FOLDS = 32
 
 
@@ -79,6 +81,7 @@ def _rank_cells(k: int, rot, head: int):
         q_uid, x_uid, x_id = queries["__uid"].to_numpy(), block["__uid"].to_numpy(), block["vec_id"].to_numpy()
         floor = queries["__floor"].to_numpy().astype(float)
         small = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52
+        qd, xd = q.astype(float), x.astype(float)
         best_score = np.full((len(q), k), -np.inf)
         best_row = np.full((len(q), k), -1, dtype=np.int64)
         for low in range(0, len(x), STEP):
@@ -88,15 +91,31 @@ def _rank_cells(k: int, rot, head: int):
             open_ = np.flatnonzero(q_norm * x_norm[low] + slack >= need)  # longest vector of the rest
             if not len(open_):
                 break
-            part = qf[open_, :head] @ xf[own, :head].T + np.outer(q_rest[open_], x_rest[own]) + slack[open_, None]
-            a, b = np.nonzero((part >= need[open_, None]) & (q_uid[open_, None] != x_uid[None, own]))
-            if not len(a):
+            part = qf[open_, :head] @ xf[own, :head].T
+            part += np.outer(q_rest[open_], x_rest[own]) + slack[open_, None]
+            alive = part >= need[open_, None]
+            _, mine, its = np.intersect1d(q_uid[open_], x_uid[own], return_indices=True)
+            alive[mine, its] = False
+            share = np.count_nonzero(alive) / alive.size
+            if not share:
                 continue
-            a, b = open_[a], b + low
-            exact = np.empty(len(a))
-            for s in range(0, len(a), 1 << 18):
-                t = slice(s, s + (1 << 18))
-                exact[t] = np.einsum("ij,ij->i", q[a[t]].astype(float), x[b[t]].astype(float)) if small else np.einsum("ij,ij->i", q[a[t]], x[b[t]])
+            if small and share > DENSE:  # so many are left that one product of matrices is cheaper; exact, see `small`
+                whole = qd[open_] @ xd[own].T
+                whole[~alive] = -np.inf
+                if whole.shape[1] > k:
+                    need_here = np.maximum(need[open_], np.partition(whole, -k, axis=1)[:, -k])
+                else:
+                    need_here = need[open_]
+                a, b = np.nonzero(alive & (whole >= need_here[:, None]))
+                exact = whole[a, b]
+                a, b = open_[a], b + low
+            else:
+                a, b = np.nonzero(alive)
+                a, b = open_[a], b + low
+                exact = np.empty(len(a))
+                for s in range(0, len(a), 1 << 18):
+                    t = slice(s, s + (1 << 18))
+                    exact[t] = np.einsum("ij,ij->i", q[a[t]], x[b[t]])
             order = np.lexsort((x_id[b], -exact, a))
             a, b, exact = a[order], b[order], exact[order]
             first = np.searchsorted(a, a)
