@@ -16,6 +16,8 @@ LENGTH = 400
 #: windows pick the same place, so nothing is lost, and one in about (LENGTH - LEAD) / 2 suffixes is left.
 LEAD = 100
 BUCKET_ROWS = 20_000
+#: Surroundings that a task remembers so as to send equal ones twice at most.
+SEEN = 500_000
 _BATCH = 1 << 19  # bytes hashed at once; places take 20 bits
 
 
@@ -159,8 +161,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     """__doc, __text_hash, __spans: the merged byte ranges covered by repeated strings, for documents that have any.
 
     Three passes: leads that occur twice are counted; the surroundings of such anchors (length bytes to the right and
-    length - lead to the left) are cut out, equal ones merged and counted, and dealt by sampled range splitters over
-    their leading bytes; each bucket sorts and compares. Equal leads are never parted, and suffixes across a border
+    length - lead to the left) are cut out, equal ones of a task twice at most, and dealt by sampled range splitters
+    over their leading bytes; each bucket merges equal ones, sorts and compares. Equal leads are never parted, and suffixes across a border
     differ within the leading bytes, so borders hide no match.
     """
     spark = docs.sparkSession
@@ -181,7 +183,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
         import pyarrow as pa
         import xxhash
 
+        seen: dict[bytes, int] = {}
         for part, texts in _texts(batches):
+            if len(seen) > SEEN:
+                seen.clear()
             for rows, places, h in anchors(texts, length, lead):
                 hit = in_filter(sent.value, h)
                 if not len(hit):
@@ -192,6 +197,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                     left.append(texts[r][max(0, p - length + lead) : p])
                     right.append(texts[r][p : p + length])
                 key = [xxhash.xxh3_128_digest(a + b"|%d|" % len(a) + b) for a, b in zip(left, right, strict=True)]
+                for i, k in enumerate(key):
+                    times = seen[k] = seen.get(k, 0) + 1
+                    if times > 2:  # twice tells all
+                        left[i] = right[i] = None
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), pa.array(places), pa.array(key, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
@@ -199,10 +208,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                 )
 
     cut = materialize(plain.mapInArrow(surroundings, f"__doc {id_type}, __text_hash long, place long, key binary, left binary, right binary"), "surroundings")
-    merged = cut.groupBy("key").agg(F.count("*").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
-    merged = merged.withColumn("start", F.substring("right", 1, lead))
-    buckets = max(1, -(-cut.count() // BUCKET_ROWS))
-    dealt = merged.repartitionByRange(buckets, "start").sortWithinPartitions("start")
+    different = cut.filter("right is not null").select("key", "left", "right")
+    buckets = max(1, -(-different.count() // BUCKET_ROWS))
+    leading = F.substring("right", 1, lead)
+    dealt = different.repartitionByRange(buckets, leading).sortWithinPartitions(leading, "key")
 
     def compare(batches):
         import numpy as np
@@ -215,13 +224,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
 
         held, last = [], None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "left", "right", "copies", "start")]
-            for *row, start in zip(*columns, strict=True):
-                if start != last and len(held) >= BUCKET_ROWS:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "left", "right")]
+            for key, left, right in zip(*columns, strict=True):
+                if held and key == held[-1][0]:
+                    held[-1][3] += 1
+                    continue
+                if right[:lead] != last and len(held) >= BUCKET_ROWS:
                     yield result(held)
                     held = []
-                held.append(row)
-                last = start
+                held.append([key, left, right, 1])
+                last = right[:lead]
         if held:
             yield result(held)
 
@@ -248,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
     """
     spans = materialize(repeated_spans(docs, length, lead), "repeated-spans")
     plain = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text_hash"), "text")
-    joined = plain.join(spans, plain["doc_id"].eqNullSafe(spans["__doc"]) & (plain["__text_hash"] == spans["__text_hash"]), "left")
+    joined = plain.join(spans.hint("merge"), plain["doc_id"].eqNullSafe(spans["__doc"]) & (plain["__text_hash"] == spans["__text_hash"]), "left")
     joined = joined.select("doc_id", "text", F.transform("__spans", lambda s: s["a"]).alias("a"), F.transform("__spans", lambda s: s["b"]).alias("b"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
