@@ -42,10 +42,11 @@ def _segments(texts, length: int):
 
 def anchors(texts, length: int = LENGTH, lead: int = LEAD):
     """For bytes of documents: arrays row, place, hash of the lead, for every place that a window picks (its leftmost
-    least hash)."""
+    least hash), each place once."""
     import numpy as np
 
     powers, low = Powers(), np.uint64((1 << 20) - 1)
+    last = (-1, -1)
     for held in _segments(texts, length):
         data = np.frombuffer(b"".join(p for _, _, p in held), dtype=np.uint8)
         hashes = powers.windows(powers.prefix(data), lead)
@@ -53,6 +54,11 @@ def anchors(texts, length: int = LENGTH, lead: int = LEAD):
         ends = np.cumsum([len(p) for _, _, p in held])
         begins = ends - [len(p) for _, _, p in held]
         picked = [np.unique(least[b : e - length + 1] & low).astype(np.int64) for b, e in zip(begins, ends, strict=True)]
+        for i, ((row, start, _), b) in enumerate(zip(held, begins, strict=True)):
+            if (row, picked[i][0] - b + start) == last:  # picked by the last windows of the segment before, too
+                picked[i] = picked[i][1:]
+            if len(picked[i]):
+                last = (row, picked[i][-1] - b + start)
         counts = [len(p) for p in picked]
         place = np.concatenate(picked)
         rows = np.repeat([r for r, _, _ in held], counts)

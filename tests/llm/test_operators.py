@@ -401,6 +401,23 @@ def test_short_repeats_of_few_letters(spark, seed):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w
 
 
+def test_places_at_segment_borders_are_sent_once(spark):
+    rng = np.random.default_rng(5)
+    unique = "".join(map(chr, rng.integers(97, 123, 3 * suffix_dedup._BATCH + 999)))
+    planted = unique[:1_000_000] + unique[200_000:200_450] + unique[1_000_000:]
+    places = [(r, p) for rows, at, _ in suffix_dedup.anchors([unique.encode(), planted.encode()]) for r, p in zip(rows.tolist(), at.tolist(), strict=True)]
+    assert len(places) == len(set(places))
+    for text in (unique, planted):
+        got = suffix_dedup.remove_repeats(frame(spark, [text])).first()
+        windows = Counter(hash(text[i : i + 400]) for i in range(len(text) - 399))
+        gone = np.zeros(len(text), dtype=bool)
+        for i in range(len(text) - 399):
+            if windows[hash(text[i : i + 400])] > 1:
+                gone[i : i + 400] = True
+        kept = np.frombuffer(text.encode(), dtype=np.uint8)[~gone].tobytes()
+        assert (got["n_removed"], got["n_spans"], got["kept_sha256"]) == (gone.sum(), (np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum(), hashlib.sha256(kept).hexdigest())
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(0)
     m = rng.integers(0, 3, size=(300, 6)).astype(np.uint64)
