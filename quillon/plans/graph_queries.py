@@ -15,8 +15,10 @@ _TIES = "ties AS (SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, o_
 _NEAR = _TIES + ", near AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM ties UNION ALL SELECT b, a FROM ties) WHERE a <> b)"
 
 
-def ties(spark, sf_dir) -> DataFrame:
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem").filter("l_quantity >= 44")
+def ties(spark, sf_dir, least: int | None = 44) -> DataFrame:
+    """Those of _TIES; with least=None those of all lines."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    l = l if least is None else l.filter(F.col("l_quantity") >= least)
     joined = l.join(o, l.l_orderkey == o.o_orderkey)
     return joined.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), F.col("o_orderpriority").alias("layer")).distinct()
 
@@ -69,7 +71,7 @@ def graph_associations(spark, sf_dir):
 
 @query("graph_path")
 def graph_path(spark, sf_dir):
-    edges = ties(spark, sf_dir).withColumn("cost", F.lit(1.0))
+    edges = ties(spark, sf_dir, least=None).withColumn("cost", F.lit(1.0))
     start, end = graph.leads(edges, least=1).orderBy(F.desc("score"), "a", "b").select("a", "b").first() or (0, 1)
     found = graph.paths(edges, start, end)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
@@ -77,7 +79,7 @@ def graph_path(spark, sf_dir):
 
 @query("graph_rings")
 def graph_rings(spark, sf_dir):
-    edges = ties(spark, sf_dir)
+    edges = ties(spark, sf_dir, least=None)
     return graph.rings(edges, graph.degrees(edges).orderBy(F.desc("degree"), "node").first()["node"])
 
 
