@@ -114,10 +114,10 @@ def distinctive_terms(docs: DataFrame, k: int = 12, least: int = 3) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "token", "score", "rank")
 
 
-def key_sentences(sentences: DataFrame, k: int = 3, rounds: int = 30, damping: float = 0.85) -> DataFrame:
-    """unit, place, sentence, score: the k central sentences of each unit by rank over shared words.
+def key_sentences(sentences: DataFrame, k: int = 3, rounds: int = 30, damping: float = 0.85, block: int = 400) -> DataFrame:
+    """unit, place, sentence, score: the k central sentences of each block of a unit by rank over shared words.
 
-    A unit is a block of at most a few hundred sentences by construction, so one task holds it.
+    A block holds `block` places (from 1) at most, so one task holds it; a unit of no more places is one block.
     """
 
     def rank(pdf):
@@ -139,7 +139,8 @@ def key_sentences(sentences: DataFrame, k: int = 3, rounds: int = 30, damping: f
         pdf = pd.DataFrame({"unit": pdf["unit"], "place": pdf["place"], "sentence": pdf["sentence"], "score": np.round(score, 6)})
         return pdf.sort_values(["score", "place"], ascending=[False, True]).head(k)
 
-    return sentences.select("unit", "place", "sentence").groupBy("unit").applyInPandas(rank, "unit long, place int, sentence string, score double")
+    of = F.floor((F.col("place") - 1) / block).alias("block")
+    return sentences.select("unit", "place", "sentence").groupBy("unit", of).applyInPandas(rank, "unit long, place int, sentence string, score double")
 
 
 __all__ = ["bm25", "classify", "distinctive_terms", "document_frequency", "identify", "key_sentences", "language_scores", "phrase", "search", "snippet", "tokens", "topic_hits"]

@@ -200,7 +200,7 @@ def key_sentences(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     said = turns.select("conv_id", "turn", F.posexplode(scalar.sentences(F.col("text"))).alias("p", "sentence"))
     numbered = said.withColumn("place", F.row_number().over(relational.Window.partitionBy("conv_id").orderBy("turn", "p")))
-    return text.key_sentences(numbered.filter("place <= 400").withColumnRenamed("conv_id", "unit"))
+    return text.key_sentences(numbered.withColumnRenamed("conv_id", "unit"))
 
 
 @query("page_addresses", r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\.', '') AS host,

@@ -55,3 +55,34 @@ def test_graph_rings_are_over_all_lines(spark, tmp_path):
     for n in set().union(*(near[w] for w in near[center])) - near[center] - {center}:
         want.add((2, n, round(len(near[n] & near[center]) / (1 + 0.5 * math.log2(len(near[n]))), 6)))
     assert {tuple(r) for r in QUERIES["graph_rings"](spark, sf).collect()} == want
+
+
+def brute_rank(sentences):
+    """Scores by plain sums over pairs."""
+    bags = [set(s.lower().split()) for s in sentences]
+    n = len(bags)
+    size = [math.log(max(len(b), 2)) for b in bags]
+    w = [[0.0 if i == j else len(bags[i] & bags[j]) / (size[i] + size[j]) for j in range(n)] for i in range(n)]
+    out = [sum(r) or 1 for r in w]
+    score = [1.0] * n
+    for _ in range(30):
+        share = [x / o for x, o in zip(score, out, strict=True)]
+        score = [0.15 + 0.85 * sum(a * b for a, b in zip(w[i], share, strict=True)) for i in range(n)]
+    return score
+
+
+def test_key_sentences_of_every_block(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    said = {c: [" ".join(f"w{rng.integers(60)}" for _ in range(rng.integers(3, 9))) + "." for _ in range(n)] for c, n in ((1, 850), (2, 400), (3, 401), (4, 2))}
+    turns = [(c, t, "user", " ".join(s[t * 10 : t * 10 + 10])) for c, s in said.items() for t in range(-(-len(s) // 10))]
+    sf = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
+    got = defaultdict(dict)
+    for r in QUERIES["key_sentences"](spark, sf).collect():
+        assert r["sentence"] == said[r["unit"]][r["place"] - 1]
+        got[r["unit"], (r["place"] - 1) // 400][r["place"]] = r["score"]
+    assert set(got) == {(c, b) for c, s in said.items() for b in range(-(-len(s) // 400))}
+    for (c, b), found in got.items():
+        score = brute_rank(said[c][b * 400 : b * 400 + 400])
+        top = sorted(score, reverse=True)[:3]
+        assert len(found) == len(top) and np.allclose(sorted(found.values(), reverse=True), top, atol=2e-6)
+        assert all(abs(score[p - b * 400 - 1] - s) < 2e-6 for p, s in found.items())
