@@ -37,8 +37,8 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _BARRIER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 #: The deepest container with this share of a page's plain text is taken for the article's.
 SHARE = 0.8
-#: A page where the host's path yields less than this share of its own container's text keeps its own.
-AGREES = 0.5
+#: Around the container, text of these stays, and of others that hold one of them.
+_PROSE = {"p", "span", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "blockquote", "pre", "address", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "details", "summary"}
 #: Places that each host's pages are dealt to when they meet the host's path.
 SALTS = 64
 
@@ -132,6 +132,7 @@ class Page:
                 mass[e] += len(text.strip())
         for e in range(len(mass) - 1, 0, -1):
             mass[self.parent[e]] += mass[e]
+        self.mass = mass
         if not mass[0]:
             return 0, 0
         found = 0
@@ -160,15 +161,31 @@ class Page:
             inside[e] = e in roots or (p >= 0 and inside[p])
         return inside
 
+    def around(self, e: int) -> tuple[set[int], set[int]]:
+        """The elements that hold e, for text of their own, and the blocks beside e and beside those; none where e is an
+        article or main element."""
+        if e == 0 or self.tag[e] in ("article", "main"):
+            return set(), set()
+        holders, at = set(), e
+        while at > 0:
+            at = self.parent[at]
+            holders.add(at)
+        prose = [t in _PROSE and m > 0 and not j for t, m, j in zip(self.tag, self.mass, self.junk, strict=True)]
+        for i in range(len(prose) - 1, 0, -1):
+            prose[self.parent[i]] |= prose[i]
+        return holders, {i for i in range(1, len(prose)) if prose[i] and not self.junk[i] and self.parent[i] in holders and i not in holders and i != e}
+
     def extract(self, path: str | None) -> str:
         own, _ = self.best()
-        mine = self.text(self.within({own}))
+        holders, blocks = self.around(own)
+        mine = self.within({e for e, p in enumerate(self.path) if p == self.path[own] and not self.junk[e]} | {own} | blocks)
+        for e in holders:
+            mine[e] = True
         if path is None or path == self.path[own]:
-            roots = {e for e, p in enumerate(self.path) if p == self.path[own] and not self.junk[e]} or {own}
-            return self.text(self.within(roots))
-        roots = {e for e, p in enumerate(self.path) if p == path and not self.junk[e]}
-        agreed = self.text(self.within(roots)) if roots else ""
-        return agreed if agreed and len(agreed) >= AGREES * len(mine) else mine
+            return self.text(mine)
+        agreed = self.within({e for e, p in enumerate(self.path) if p == path and not self.junk[e]})
+        lost = any(mine[e] and not agreed[e] and not self.junk[e] and text.strip() for e, _, text, _ in self.runs)
+        return self.text(mine if lost else agreed)
 
 
 def host(url):
@@ -208,8 +225,9 @@ def extract(pages: DataFrame) -> DataFrame:
     pages needs page_id, url and html; a null html is empty, a null url has the host ''. Each page proposes the deepest
     container that holds most of its plain text, or the article or main element around it; a host's path is the one
     with the greatest weight of votes (ties: the first by code point). Paths are tags with their classes, digits
-    generalised. A page is read again by its host's path; where that isn't found, or gives less than half of the page's
-    own container, it keeps its own. Pages without any markup are text as they are. Repeated rows are read each.
+    generalised. A page's own text is its container's and, where that is no article or main element, that of the blocks
+    beside it and around it that aren't junk (_PROSE). A page is read again by its host's path; where that isn't found,
+    or lacks any of the page's own text, it keeps its own. Pages without any markup are text as they are. Repeated rows are read each.
     """
     votes = container_votes(pages).groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     won = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.round("weight", 3), F.col("path"))).alias("__path")).withColumnRenamed("host", "__host")

@@ -240,6 +240,20 @@ def test_hosts_agree_on_a_path(spark):
     assert got[6]["text"] == got[7]["text"] == ""
 
 
+def test_blocks_beside_the_container_stay():
+    body = words(60, 1)
+    page = f"<body><div class=nav>Menu</div><div><h1>Title</h1><p>Lead <a href=/>link</a></p><div class=text><p>{body}</p></div><div><p>End</p></div><div class=share><p>no</p></div>last</div><ul><li><a href=/>other</a></li></ul></body>"
+    assert html_text.Page(page).extract(None) == f"Title Lead link {body} End last"
+
+
+@pytest.mark.parametrize("more", ["<p>{}</p>", "{}"])
+def test_a_host_path_loses_no_block_of_a_page(spark, more):
+    pages = [(i, "http://a.org/x", f"<body><div class=content><p>{words(40, i)}</p></div></body>") for i in range(6)]
+    pages.append((6, "http://a.org/y", f"<body><div class=content><p>{words(30, 8)}</p></div><div class=more>{more.format(words(20, 9))}</div></body>"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: words(40, i) for i in range(6)}, 6: f"{words(30, 8)} {words(20, 9)}"}
+
+
 # 6
 
 
