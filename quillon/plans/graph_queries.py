@@ -105,11 +105,12 @@ def _gazetteer(spark) -> DataFrame:
 
 @query("name_mentions")
 def name_mentions(spark, sf_dir):
-    docs, gazetteer = read(spark, sf_dir, "documents"), _gazetteer(spark)
+    docs = read(spark, sf_dir, "documents")
+    # words of the tables that are mostly written with a capital, beside those that are ordinary words
+    gazetteer = _gazetteer(spark).unionByName(spark.createDataFrame([("a7", "Eriner"), ("a8", "Ofonrereer")], "actor string, name string"))
     hits = names.match(docs, gazetteer)
     weak = spark.createDataFrame([("In",)], "name string")
-    ordinary = names.capitalised_uses(docs, gazetteer).withColumn("lower", F.lit(0))
-    return names.mentions(hits, weak, ordinary)
+    return names.mentions(hits, weak, names.capitalised_uses(docs, gazetteer))
 
 
 @query("name_uses", r"SELECT name, count_if(w = name)::BIGINT AS upper, count_if(w = lower(name))::BIGINT AS lower FROM (SELECT unnest(['The', 'And', 'In', 'Der', 'Les', 'Que']) AS name) LEFT JOIN (SELECT unnest(regexp_split_to_array(text, '[^\p{L}\p{N}_]+')) AS w FROM documents) ON w = name OR w = lower(name) GROUP BY name")

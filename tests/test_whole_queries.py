@@ -1,7 +1,8 @@
 """Queries without SQL on small tables, against brute force over all of their rows."""
 
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -86,3 +87,22 @@ def test_key_sentences_of_every_block(spark, tmp_path):
         top = sorted(score, reverse=True)[:3]
         assert len(found) == len(top) and np.allclose(sorted(found.values(), reverse=True), top, atol=2e-6)
         assert all(abs(score[p - b * 400 - 1] - s) < 2e-6 for p, s in found.items())
+
+
+def test_name_mentions_leave_out_ordinary_words(spark, tmp_path):
+    texts = {1: "The Eriner met the eriner. Eriner", 2: "Of the And and and Que", 3: "In Ofonrereer, In. With the Les les", 4: None, 5: "Der Eriner Les", 6: "In in", 7: "With the And and"}
+    gazetteer = {"The": "a1", "Of the": "a1", "And": "a2", "In": "a3", "Der": "a4", "Les": "a5", "Que": "a6", "With the": "a2", "Eriner": "a7", "Ofonrereer": "a8"}
+    found = {i: re.findall(r"\w+", t or "") for i, t in texts.items()}
+    uses = Counter(w for words in found.values() for w in words)
+    ordinary = {n for n in gazetteer if uses[n.lower()] > uses[n]}
+    assert ordinary == {"The", "And"}
+    want = set()
+    for i, words in found.items():
+        hits = defaultdict(list)
+        for at in range(len(words)):
+            for name in {" ".join(words[at : at + 2]), words[at]}:
+                if name in gazetteer and name not in ordinary:
+                    hits[gazetteer[name]].append(name)
+        want |= {(i, a, len(n), len(set(n))) for a, n in hits.items() if set(n) != {"In"}}
+    sf = tables(spark, tmp_path, documents=(list(texts.items()), "doc_id long, text string"))
+    assert {tuple(r) for r in QUERIES["name_mentions"](spark, sf).collect()} == want
