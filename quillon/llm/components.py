@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import materialize
+from quillon.llm.storage import discard, materialize
 
 FILTER_BITS = 1 << 25
 
@@ -14,7 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges(a, b), longs.
 
     Alternating large-star and small-star steps; each step's edges are written to the shared folder. Edges stay spread
-    over the executors: the driver sees two numbers a round.
+    over the executors: the driver sees two numbers a round. The result may be discarded like a table.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     seen = None
@@ -25,10 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct()
-        now = materialize(small, "stars")
+        before, now = now, materialize(small, "stars")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out._table_path = now._table_path
+            return out
         seen = state
 
 

@@ -1,25 +1,27 @@
-"""Similarity join on word shingles: parity sketches, pigeonhole by size band, exact verification, components."""
+"""Similarity join on word shingles: parity sketches, pigeonhole by size band, verification on words, components."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components, filter_bits, in_filter
-from quillon.llm.rolling import Powers, mix
-from quillon.llm.storage import materialize, table
+from quillon.llm.rolling import mix
+from quillon.llm.storage import discard, materialize, table, unused
 
 WORDS = 5
-#: Two sets link when 100 * intersection >= PERCENT * union.
-PERCENT = 75
+#: Two sets link when 100 * intersection >= 75 * union, that is, when 7 * symmetric difference <= sum of sizes.
 #: Entries that one bucket of sketch cells holds about; the number of buckets grows with the texts.
 BUCKET_ENTRIES = 4_000_000
 FLUSH_ENTRIES = 4_000_000
+#: A cell that so many sets of one flush share passes as rows of its own and not through its bucket's memory.
+HOT_CELL = 1_000
+#: Lists of at most so many open entries are compared in one go, longer ones round so many hubs at a time.
+SMALL_LIST, HUBS = 32, 16
 _BATCH = 1 << 21
-#: Rounds of stars round changing hubs that the shingles in shared cells decide.
-STAR_ROUNDS = 2
+_CACHE = 1 << 20
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
@@ -43,52 +45,52 @@ def farthest(size: int, top: int) -> int:
     return (size + min(4 * size // 3, top)) // 7
 
 
-def shingle_sets(texts: list[bytes], powers: Powers):
-    """For each text the sorted different hashes of its 5-word shingles; of its whole words if there are fewer."""
-    import numpy as np
+class _Words(dict):
+    """64-bit hashes of words, remembered for the commonest of a task."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= _CACHE:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    white = np.zeros(256, dtype=bool)
-    white[[32, *range(9, 14)]] = True
-    joined = b"\n".join(texts).translate(lower) + b"\n"
-    data = np.frombuffer(joined, dtype=np.uint8)
-    space = np.concatenate([[True], white[data]])
-    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    if len(ends) < len(starts):
-        ends = np.append(ends, len(data))
-    words = powers.spans(powers.prefix(data), starts, ends)
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    last = np.searchsorted(starts, limits)
-    first = np.concatenate([[0], last[:-1]])
-    c = [np.uint64(x) for x in _C]
-    n = max(len(words) - WORDS + 1, 0)
-    total = np.zeros(n, dtype=np.uint64)
-    for k in range(WORDS):
-        total += words[k : k + n] * c[k]
-    hashes = mix(total)
-    out = []
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        if b - a >= WORDS:
-            out.append(np.unique(hashes[a : b - WORDS + 1]))
-        elif b > a:
-            whole = sum((int(w) * _C[k] for k, w in enumerate(words[a:b])), (b - a) * _C[5]) & (1 << 64) - 1
-            out.append(mix(np.array([whole], dtype=np.uint64)))
-        else:
-            out.append(np.zeros(0, dtype=np.uint64))
-    return out
 
+def words_of(text: bytes) -> list[bytes]:
+    """A-Z lower-cased; bytes.split() parts at just the six characters of the contract."""
+    return text.lower().split()
 
-def set_key(hashes) -> int:
-    """A 64-bit name of a set of shingles; sets with equal names are taken for equal."""
+
+def shingle_set(words: list[bytes], known: _Words):
+    """The sorted different hashes of a text's 5-word shingles; of all its words if there are fewer."""
+    import numpy as np
+
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(h) >= WORDS:
+        n = len(h) - WORDS + 1
+        total = h[:n] * np.uint64(_C[0])
+        for k in range(1, WORDS):
+            total += h[k : k + n] * np.uint64(_C[k])
+        return np.unique(mix(total))
+    if len(h):
+        total = sum((int(w) * _C[k] for k, w in enumerate(h)), len(h) * _C[5]) & (1 << 64) - 1
+        return mix(np.array([total], dtype=np.uint64))
+    return h
+
+
+def set_key(hashes) -> tuple[int, int]:
+    """Two signed 64-bit names of a set of shingles. The first names it in lists and links, both name equal sets."""
     import numpy as np
 
     with np.errstate(over="ignore"):
-        return int(mix(np.array([np.sum(mix(hashes * np.uint64(_C[1]))) + np.uint64(len(hashes)) * np.uint64(_C[2])], dtype=np.uint64))[0])
+        sums = [np.sum(mix(hashes * np.uint64(c))) + np.uint64(len(hashes)) * np.uint64(_C[2]) for c in (_C[1], _C[4])]
+    return tuple(int(x) for x in mix(np.array(sums, dtype=np.uint64)).astype(np.int64))
 
 
 def sketch_cells(hashes, slot: int, top: int):
-    """The non-empty cells of the parity sketch of a set in a slot, as one number each, how many of them a linked set
-    shares at least, and the shingles in each.
+    """The non-empty cells of the parity sketch of a set in a slot, as one number each, and how many of them a linked
+    set shares at least.
 
     Shingles go to cells by their hash; a cell is the XOR of its shingles, so it changes only if it holds shingles of the
     symmetric difference. That difference is at most farthest(), so of more non-empty cells some are the same in the
@@ -100,19 +102,39 @@ def sketch_cells(hashes, slot: int, top: int):
     at = ((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     value = np.bitwise_xor.reduceat(mix(hashes + np.uint64(_C[3])), begin)
-    held = np.diff(np.append(begin, len(hashes)))
-    where, most = at[begin], farthest(len(hashes), top)
-    need = len(where) - most
+    where = at[begin]
+    need = len(where) - farthest(len(hashes), top)
     if need < 1:
         empty = np.setdiff1d(np.arange(cells, dtype=np.uint64), where)
-        where, value, held, need = np.concatenate([where, empty]), np.concatenate([value, np.zeros(len(empty), dtype=np.uint64)]), np.concatenate([held, np.zeros(len(empty), dtype=np.int64)]), 1
-    return mix(value + where * np.uint64(_C[4]) + np.uint64(slot * _C[5] & (1 << 64) - 1)), need, np.minimum(held, 255).astype(np.uint8)
+        where, value, need = np.concatenate([where, empty]), np.concatenate([value, np.zeros(len(empty), dtype=np.uint64)]), 1
+    return mix(value + where * np.uint64(_C[4]) + np.uint64(slot * _C[5] & (1 << 64) - 1)), need
+
 
+def bit_sketch(hashes) -> bytes:
+    """Parity bits: each shingle flips one of 4 to 8 bits a shingle (a power of two, 64 at least)."""
+    import numpy as np
+
+    width = max(64, 1 << (4 * max(len(hashes), 1) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """The differing bits of two sketches, the wider one folded by XOR to the other's width: at most the symmetric
+    difference of the sets, as a shingle in both flips the same bit of both."""
+    import numpy as np
+
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-def _texts(batches):
+
+def _texts(batches, column: int):
     """Slices of the record batches with texts of about _BATCH bytes in all, and those texts as bytes."""
     for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        texts = [(t or "").encode() for t in batch.column(column).to_pylist()]
         low = size = 0
         for i, t in enumerate(texts):
             if size + len(t) > _BATCH and i > low:
@@ -123,16 +145,19 @@ def _texts(batches):
             yield batch.slice(low), texts[low:]
 
 
-def _packed(cells, held, index, keys, slots) -> bytes:
-    """Sorted 40-bit cells, their shingles, the place of each cell's set, and the sets' keys and slots, compressed."""
+_LOW = (1 << 40) - 1
+
+
+def _packed(cells, hot, index, keys, slots) -> bytes:
+    """Sorted 40-bit cells, those of them that are hot, the place of each cell's set, and the sets' keys and slots."""
     import numpy as np
     import zstandard
 
     order = np.argsort(cells)
-    cells, held, index = cells[order], held[order], index[order]
+    cells, index = cells[order], index[order]
     used, place = np.unique(index, return_inverse=True)
     planes = [((cells >> np.uint64(8 * i)) & np.uint64(255)).astype(np.uint8).tobytes() for i in range(4, -1, -1)]
-    body = [np.array([len(cells), len(used)], dtype=np.int64).tobytes(), *planes, held.tobytes(), place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), keys[used].tobytes(), slots[used].astype(np.uint8).tobytes()]
+    body = [np.array([len(cells), len(used), len(hot)], dtype=np.int64).tobytes(), hot.astype(np.uint64).tobytes(), keys[used].tobytes(), *planes, place.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), slots[used].astype(np.uint8).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
@@ -141,139 +166,169 @@ def _unpacked(blob: bytes):
     import zstandard
 
     body = zstandard.ZstdDecompressor().decompress(blob)
-    n, used = np.frombuffer(body, dtype=np.int64, count=2)
-    raw = np.frombuffer(body, dtype=np.uint8, offset=16)
+    n, used, some = np.frombuffer(body, dtype=np.int64, count=3)
+    hot = np.frombuffer(body, dtype=np.uint64, offset=24, count=some)
+    keys = np.frombuffer(body, dtype=np.int64, offset=24 + 8 * some, count=used)
+    raw = np.frombuffer(body, dtype=np.uint8, offset=24 + 8 * (some + used))
     cells = np.zeros(n, dtype=np.uint64)
     for i in range(5):
         cells = (cells << np.uint64(8)) | raw[i * n : (i + 1) * n]
-    held = raw[5 * n : 6 * n]
-    at = 6 * n
-    place = np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view(np.uint32).ravel()
-    at += 4 * n
-    keys = np.frombuffer(raw[at : at + 8 * used].tobytes(), dtype=np.uint64)
-    return cells, held, place, keys, raw[at + 8 * used : at + 9 * used]
+    place = np.ascontiguousarray(raw[5 * n : 9 * n].reshape(4, n).T).view(np.uint32).ravel()
+    return cells, hot, place, keys, raw[9 * n : 9 * n + used]
+
+
+_NAMES = ["bucket", "doc_id", "text_hash", "key", "key2", "n", "slots", "needs", "cells", "list", "slot", "members"]
 
 
 def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: a document with the key and size of its set and what its slots need; a bucket's packed cells
-    of the sets that a task has met."""
+    """Rows of three kinds: a document with the names and size of its set and what its slots need; a bucket's packed
+    cells of the sets that a task has met; the sets of a task that share a hot cell."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        powers, edges, seen = Powers(), bounds(), set()
-        cells, counts, index, keys, slots, held = [], [], [], [], [], 0
-        names = ["bucket", "doc_id", "key", "n", "slots", "needs", "cells"]
-        types = [pa.int32(), None, pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        known, edges, seen, row = _Words(), bounds(), set(), 0
+        cells, index, keys, slots, held = [], [], [], [], 0
+        types = [pa.int32(), None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
-        def out(columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, types, strict=True)], names=names)
+        def out(size, **columns):
+            made = [columns.get(c, pa.nulls(size, t)) for c, t in zip(_NAMES, types, strict=True)]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types, strict=True)], names=_NAMES)
 
         def flush():
-            every, shingles, of = np.concatenate(cells), np.concatenate(counts), np.repeat(np.arange(len(index)), index)
-            key, slot = np.array(keys, dtype=np.uint64), np.array(slots)
+            every, of = np.concatenate(cells), np.repeat(np.arange(len(index)), index)
+            key, slot = np.array(keys, dtype=np.int64), np.array(slots)
             bucket = (every >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.lexsort((every & np.uint64(_LOW), bucket))
+            every, of, bucket = every[order] & np.uint64(_LOW), of[order], bucket[order]
+            begin = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (bucket[1:] != bucket[:-1])]))
+            many = np.diff(np.append(begin, len(every)))
+            hot = np.flatnonzero(many >= HOT_CELL)
+            left_out = np.zeros(len(every), dtype=bool)
+            for i in hot.tolist():
+                a, b = begin[i], begin[i] + many[i]
+                left_out[a:b] = True
+                yield out(1, bucket=[int(i) % buckets], list=[int(every[a]) | int(bucket[a]) << 40], slot=[int(slot[of[a]])], members=[np.unique(key[of[a:b]])])
+            hot_cells, hot_bucket = every[begin[hot]], bucket[begin[hot]]
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in range(buckets):
-                own = order[cut[b] : cut[b + 1]]
-                if len(own):
-                    yield out([[b], pa.nulls(1, types[1]), [None], [None], [None], [None], [_packed(every[own] & np.uint64((1 << 40) - 1), shingles[own], of[own], key, slot)]])
+                own = np.flatnonzero(~left_out[cut[b] : cut[b + 1]]) + cut[b]
+                marked = hot_cells[hot_bucket == b] if len(hot) else hot_cells
+                if len(own) or len(marked):
+                    yield out(1, bucket=[b], cells=[_packed(every[own], marked, of[own], key, slot)])
 
-        for part, texts in _texts(batches):
+        for part, texts in _texts(batches, 2):
             types[1] = part.schema.field(0).type
             rows = [[], [], [], [], []]
-            for hashes in shingle_sets(texts, powers):
-                key, n = set_key(hashes), len(hashes)
-                signed = key - (1 << 64) if key >> 63 else key
+            for text in texts:
+                hashes = shingle_set(words_of(text), known)
+                name, n = set_key(hashes), len(hashes)
                 own_slots, needs = [], []
                 if n:
                     band = int(np.searchsorted(edges, n, side="right")) - 1
                     for slot in [band, *[band + 1] * (4 * n // 3 >= edges[band + 1])]:
-                        got, need, inside = sketch_cells(hashes, slot, edges[slot + 1] - 1)
+                        got, need = sketch_cells(hashes, slot, edges[slot + 1] - 1)
                         own_slots.append(slot)
                         needs.append(need)
-                        if key not in seen:
+                        if name not in seen:
                             cells.append(got)
-                            counts.append(inside)
                             index.append(len(got))
-                            keys.append(key)
+                            keys.append(name[0])
                             slots.append(slot)
                             held += len(got)
-                    seen.add(key)
-                for to, x in zip(rows, (key % buckets, signed, n, own_slots, needs), strict=True):
+                    seen.add(name)
+                for to, x in zip(rows, (*name, n, own_slots, needs), strict=True):
                     to.append(x)
-            yield out([rows[0], part.column(0), *rows[1:], pa.nulls(len(texts), pa.binary())])
-            if held >= FLUSH_ENTRIES:
-                yield from flush()
-                cells, counts, index, keys, slots, held = [], [], [], [], [], 0
-                seen.clear()
+                if held >= FLUSH_ENTRIES:
+                    yield from flush()
+                    cells, index, keys, slots, held = [], [], [], [], 0
+                    seen.clear()
+            spread = (row + np.arange(len(texts))) % buckets  # any bucket will do for a document's row
+            row += len(texts)
+            yield out(len(texts), bucket=spread.astype(np.int32), doc_id=part.column(0), text_hash=part.column(1), key=rows[0], key2=rows[1], n=rows[2], slots=rows[3], needs=rows[4])
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"bucket int, doc_id {id_type}, key long, n int, slots array<int>, needs array<int>, cells binary")
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(
+        run, f"bucket int, doc_id {id_type}, text_hash long, key long, key2 long, n long, slots array<int>, needs array<int>, cells binary, list long, slot int, members array<long>"
+    )
 
 
 def _matched(sketched: DataFrame, id_type: str) -> DataFrame:
-    """Documents as they are, and of each bucket the lists of sets that share cells: members, slot, how many cells and
-    how many shingles are in them."""
+    """Documents as they are, and a row for each set of a list of sets that share cells: list, slot, how many cells,
+    key. A bucket's memory holds the cells that few share; a hot one's sets are in rows of their own already."""
 
     def run(bucket):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute
+        import pyarrow.compute as pc
+        import xxhash
+
+        docs = bucket.filter(pc.is_valid(bucket["n"]))
+        parts = [_unpacked(b) for b in bucket["cells"].to_pylist() if b is not None]
+        made = [[], [], [], []]  # list, slot, times, key
 
-        is_doc = pa.compute.is_null(bucket["cells"])
-        docs = bucket.filter(is_doc)
-        lists: dict[bytes, list[int]] = {}
-        parts = [_unpacked(b) for b in bucket.filter(pa.compute.invert(is_doc))["cells"].to_pylist()]
+        def add(name, slot, times, keys):
+            for to, x in zip(made, (name, slot, times), strict=False):
+                to.append(np.full(len(keys), x, dtype=np.int64))
+            made[3].append(np.asarray(keys, dtype=np.int64))
+
+        rare = bucket.filter(pc.is_valid(bucket["members"])).select(["list", "slot", "members"]).to_pylist()
+        for x in rare:
+            add(x["list"], x["slot"], 1, x["members"])
         if parts:
-            named = np.concatenate([np.rec.fromarrays([k, s], dtype=[("k", "u8"), ("s", "u1")]) for *_, k, s in parts])
+            named = np.concatenate([np.rec.fromarrays([k, s], dtype=[("k", "i8"), ("s", "u1")]) for *_, k, s in parts])
             ids, to = np.unique(named, return_inverse=True)
             begin = np.cumsum([0, *(len(p[3]) for p in parts)])
             cells = np.concatenate([p[0] for p in parts])
-            held = np.concatenate([p[1] for p in parts])
+            hot = np.unique(np.concatenate([p[1] for p in parts]))
             owner = np.concatenate([to[b + p[2].astype(np.int64)] for b, p in zip(begin, parts, strict=False)])
             order = np.argsort(cells, kind="stable")
             cells = cells[order]
             twin = np.zeros(len(cells) + 1, dtype=bool)
             twin[1:-1] = cells[1:] == cells[:-1]
-            some = np.flatnonzero(twin[1:] | twin[:-1])
-            cells, owner, held = cells[some], owner[order[some]], held[order[some]]
+            some = np.flatnonzero(twin[1:] | twin[:-1] | np.isin(cells, hot))
+            cells, owner = cells[some], owner[order[some]]
             again = np.lexsort((owner, cells))
-            cells, owner, held = cells[again], owner[again], held[again]
+            cells, owner = cells[again], owner[again]
             fresh = np.ones(len(cells), dtype=bool)
             fresh[1:] = (cells[1:] != cells[:-1]) | (owner[1:] != owner[:-1])
-            cells, owner, held = cells[fresh], owner[fresh], held[fresh]
+            cells, owner = cells[fresh], owner[fresh]
             cut = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]])) if len(cells) else np.zeros(1, dtype=int)
+            of_hot, number = set(hot.tolist()), int(bucket["bucket"][0].as_py())
+            lists: dict[bytes, int] = {}
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found = lists.setdefault(owner[a:b].tobytes(), [0, 0])
-                    found[0] += 1
-                    found[1] += int(held[a])
-        found = [np.frombuffer(m, dtype=np.int64) for m in lists]
-        n, k = docs.num_rows, len(found)
-        members = pa.array([None] * n + [ids["k"][m].astype(np.int64) for m in found], pa.list_(pa.int64()))
-        slot = pa.array([None] * n + [int(ids["s"][m[0]]) for m in found], pa.int32())
-        times, shingles = (pa.array([None] * n + [x[i] for x in lists.values()], pa.int32()) for i in (0, 1))
-        columns = [pa.concat_arrays([*docs[c].chunks, pa.nulls(k, docs.schema.field(c).type)]) for c in ("doc_id", "key", "n", "slots", "needs")]
-        return pa.Table.from_arrays([*columns, members, slot, times, shingles], names=["doc_id", "key", "n", "slots", "needs", "members", "slot", "times", "shingles"])
-
-    return sketched.groupBy("bucket").applyInArrow(run, f"doc_id {id_type}, key long, n int, slots array<int>, needs array<int>, members array<long>, slot int, times int, shingles int")
-
-
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, __set (sorted hashes) of the wanted(doc_id, key): a filter of fixed size passes the documents to read again."""
-    hashed = wanted.select(F.xxhash64("doc_id").alias("h"))
-    sent = docs.sparkSession.sparkContext.broadcast(filter_bits(hashed, "h"))
+                if int(cells[a]) in of_hot:
+                    add(int(cells[a]) | number << 40, int(ids["s"][owner[a]]), 1, ids["k"][owner[a:b]])
+                elif b - a > 1:
+                    m = owner[a:b].tobytes()
+                    lists[m] = lists.get(m, 0) + 1
+            for m, times in lists.items():
+                own = np.frombuffer(m, dtype=np.int64)
+                keys, slot = ids["k"][own], int(ids["s"][own[0]])
+                add(xxhash.xxh3_64_intdigest(keys.tobytes(), seed=slot) - (1 << 63), slot, times, keys)
+        lists_of = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in made]
+        n, k = docs.num_rows, len(lists_of[0])
+        columns = [pa.concat_arrays([*docs[c].chunks, pa.nulls(k, docs.schema.field(c).type)]) for c in ("doc_id", "text_hash")]
+        key = pa.concat_arrays([*docs["key"].chunks, pa.array(lists_of[3])])
+        columns += [key, *(pa.concat_arrays([*docs[c].chunks, pa.nulls(k, docs.schema.field(c).type)]) for c in ("key2", "n", "slots", "needs"))]
+        columns += [pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(lists_of, (pa.int64(), pa.int32(), pa.int32()), strict=False)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "text_hash", "key", "key2", "n", "slots", "needs", "list", "slot", "times"])
+
+    return sketched.groupBy("bucket").applyInArrow(run, f"doc_id {id_type}, text_hash long, key long, key2 long, n long, slots array<int>, needs array<int>, list long, slot int, times int")
+
+
+def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n, bits (its sketch), words (lower-cased, one space between) of the wanted(key, h): a filter of fixed size
+    passes the documents to read again, h being the hash of a doc_id."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_bits(wanted, "h"))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
-        powers = Powers()
+        known = _Words()
 
         def chosen():
             for batch in batches:
@@ -281,23 +336,207 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(hit):
                     yield batch.take(pa.array(hit))
 
-        for _, texts in _texts(chosen()):
-            sets = [s for s in shingle_sets(texts, powers) if len(s)]
-            keys = np.array([set_key(s) for s in sets], dtype=np.uint64).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "__set"])
+        for _, texts in _texts(chosen(), 1):
+            split = [w for w in map(words_of, texts) if w]
+            sets = [shingle_set(w, known) for w in split]
+            columns = [pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary()), pa.array([b" ".join(w) for w in split], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "bits", "words"])
+
+    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "key long, n long, bits binary, words binary")
+    keys = wanted.select(F.col("key").alias("__k")).distinct()
+    return materialize(found.join(keys, F.col("key") == F.col("__k"), "left_semi").dropDuplicates(["key"]), "shingle-texts")
+
+
+def _shingles(words: bytes) -> set[tuple[bytes, ...]]:
+    w = words.split(b" ")
+    return set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if len(w) >= WORDS else {tuple(w)}
+
+
+def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose sets link: first by the Hamming distance of their sketches, then by their words."""
+
+    def near(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+            hit = [i for i, (na, x, nb, y) in enumerate(zip(*columns, strict=True)) if 7 * hamming(x, y) <= na + nb]
+            yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
+
+    def exact(batches):
+        import pyarrow as pa
+
+        last, hub = None, set()
+        for batch in batches:
+            hit = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if y != last:
+                    last, hub = y, _shingles(y)
+                own = _shingles(x)
+                shared = len(own & hub)
+                if 100 * shared >= 75 * (len(own) + len(hub) - shared):
+                    hit.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
+
+    def side(of: str, *columns: str) -> DataFrame:
+        return held.select(F.col("key").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns])
+
+    sketched = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    close = sketched.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(near, "a long, b long")
+    both = close.join(side("a", "words"), "a").join(side("b", "words"), "b").select("a", "b", "words_a", "words_b")
+    return both.mapInArrow(exact, "a long, b long")
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's other sets with its hub b: the set whose cells most others share."""
+    size = rows.groupBy("list").agg(F.count("*").alias("size"))
+    placed = materialize(rows.select("list", "key", "times").join(size, "list"), "lists-sized")
+    score = placed.groupBy("key").agg(F.sum(F.col("times") * F.col("size")).alias("score"))
+    scored = materialize(placed.select("list", "key").join(score, "key"), "lists-scored")
+    discard(placed)
+    hub = scored.groupBy("list").agg(F.max(F.struct("score", "key")).alias("hub"))
+    pairs = scored.join(hub, "list").filter("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
+    out = materialize(pairs, "pairs")
+    discard(scored)
+    return out
+
+
+def _open(rows: DataFrame, asked: DataFrame, label: DataFrame) -> DataFrame:
+    """key, component of the sets that may link to another component: such a set shares with sets of other components,
+    in lists of several components, as many cells as it needs for a link at all."""
+    placed = rows.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).join(asked.select("slot", "key", "need"), ["slot", "key"])
+    for _ in range(2):
+        several = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
+        placed = placed.join(several, "list", "left_semi")
+        apart = placed.groupBy("slot", "key").agg(F.sum("times").alias("t"), F.first("need").alias("need")).filter("t >= need").select("slot", "key")
+        placed = placed.join(apart, ["slot", "key"], "left_semi")
+    return materialize(placed.select("key", "component").distinct(), "open-sets")
+
+
+def _prefixes(open_sets: DataFrame, held: DataFrame) -> DataFrame:
+    """shingle, key, n, component, pos: what of the open sets' shingles can be the first one that two linked sets of
+    different components share.
+
+    Shingles are in one order for all sets: those that only one component has, then the others, rare ones first. Linked
+    sets share 3/7 of their sizes' sum, 3/4 of the larger set, so the first shared shingle stands in the first quarter.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = _Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(w.split(b" "), known) for w in part.column(3).to_pylist()]
+                take = pa.array([i for i, s in enumerate(sets) for _ in range(len(s))], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64)), *(part.column(i).take(take) for i in range(3))], names=["shingle", "key", "n", "component"])
+
+    texts = open_sets.join(held.select("key", "n", "words"), "key").select("key", "n", "component", "words")
+    every = materialize(texts.mapInArrow(run, "shingle long, key long, n long, component long"), "open-shingles")
+    shared = every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "df")
+    crossing = every.join(shared, "shingle")
+    enough = crossing.groupBy("key").agg(F.count("*").alias("crossing"))
+    place = F.col("n") - F.col("crossing") + F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle")) - 1
+    ranked = crossing.join(enough.filter("crossing > 0"), "key").filter("4 * crossing >= 3 * n").withColumn("pos", place).filter("4 * pos <= n")
+    out = materialize(ranked.select("shingle", "key", "n", "component", "pos"), "open-prefixes")
+    discard(every)
+    return out
+
 
-    found = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "key long, __set array<long>")
-    keys = wanted.select(F.col("key").alias("__k"))
-    return materialize(found.join(keys, F.col("key") == F.col("__k"), "left_semi").dropDuplicates(["key"]), "shingle-sets")
+#: Two entries of a list may be the first shingle that linked sets of different components share.
+_FITS = "{a}.component <> {b}.component and 7 * ({a}.n - {a}.pos) >= 3 * ({a}.n + {b}.n) and 7 * ({b}.n - {b}.pos) >= 3 * ({a}.n + {b}.n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs(a, b), those whose sets link."""
-    left = sets.select(F.col("key").alias("a"), F.col("__set").alias("__a"))
-    right = sets.select(F.col("key").alias("b"), F.col("__set").alias("__b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("__a", "__b"))
-    return both.filter(100 * shared >= percent * (F.size("__a") + F.size("__b") - shared)).select("a", "b")
+def _pruned(entries: DataFrame) -> DataFrame:
+    """Entries for which some other component's entry of the same list may fit, by that list's least size and reach."""
+    per = entries.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max(F.expr("4 * n - 7 * pos")).alias("reach"))
+    small, far = F.struct("n", "component"), F.struct("reach", "component")
+    ends = per.groupBy("shingle").agg(F.min(small).alias("small"), F.max(far).alias("far"), F.count("*").alias("k")).filter("k > 1").select("shingle", "small", "far")
+    rest = per.join(ends, "shingle").groupBy("shingle").agg(F.first("small").alias("small"), F.first("far").alias("far"), F.min(F.when(F.col("component") != F.col("small.component"), F.col("n"))).alias("small2"), F.max(F.when(F.col("component") != F.col("far.component"), F.col("reach"))).alias("far2"))
+    joined = entries.join(rest, "shingle")
+    least = F.when(F.col("small.component") == F.col("component"), F.col("small2")).otherwise(F.col("small.n"))
+    reach = F.when(F.col("far.component") == F.col("component"), F.col("far2")).otherwise(F.col("far.reach"))
+    return joined.filter((3 * least <= F.expr("4 * n - 7 * pos")) & (3 * F.col("n") <= reach)).select(*entries.columns)
+
+
+def _round(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare now, and the entries that aren't done with it.
+
+    A list of at most SMALL_LIST entries is compared whole. Of a longer one HUBS entries are compared with all; they are
+    done then. So an entry makes at most SMALL_LIST or HUBS pairs a round.
+    """
+    size = entries.groupBy("shingle").agg(F.count("*").alias("size"))
+    sized = materialize(entries.join(size, "shingle"), "open-sized")
+    small, large = sized.filter(F.col("size") <= SMALL_LIST), sized.filter(F.col("size") > SMALL_LIST)
+    pairs = small.alias("x").join(small.alias("y"), F.expr("x.shingle = y.shingle and x.key < y.key and " + _FITS.format(a="x", b="y"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    hubs = large.groupBy("shingle", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part")).agg(F.max(F.struct("n", "key", "component", "pos")).alias("hub")).select("shingle", "hub.*")
+    pairs = pairs.unionByName(large.alias("x").join(hubs.alias("y"), F.expr("x.shingle = y.shingle and x.key <> y.key and " + _FITS.format(a="x", b="y"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
+    left = large.select(*entries.columns).join(hubs.select("shingle", "key"), ["shingle", "key"], "left_anti")
+    out = materialize(pairs.distinct(), "pairs"), materialize(left, "open-left")
+    discard(sized)
+    return out
+
+
+def _links(docs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame | None:
+    """node, component of the sets that link, found without emitting all pairs of a list.
+
+    First each list's hub is compared with the others, which joins copies of one original. What is then in one component
+    needs no more pairs. Sets that may link across components are compared where their first shared shingles meet.
+    """
+    held = _held(docs, asked.select("key", "h"))
+    pairs = _star_pairs(rows)
+    links = materialize(linked(pairs, held), "links")
+    discard(pairs)
+    label = components(links)
+    open_sets = _open(rows, asked, label.withColumnRenamed("node", "key"))
+    if not open_sets.isEmpty():
+        entries = _prefixes(open_sets, held)
+        while True:
+            fit = materialize(_pruned(entries), "open-entries")
+            discard(entries)
+            if fit.isEmpty():
+                discard(fit)
+                break
+            pairs, left = _round(fit)
+            discard(fit)
+            more = materialize(linked(pairs, held).unionByName(links), "links")
+            discard(pairs, links, label)
+            links = more
+            label = components(links)
+            now = label.select(F.col("node").alias("key"), F.col("component").alias("now"))
+            entries = materialize(left.join(now, "key", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "open-prefixes")
+            discard(left)
+    discard(open_sets, held, links)
+    return label
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, text_hash, n (shingles), least (struct no_id, doc_id, text_hash: the first of its
+    component, rows without an id last; of rows without words the row itself)."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    chars = docs.select(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
+    buckets = max(16, math.ceil(chars / 6 / BUCKET_ENTRIES))
+    matched = materialize(_matched(_sketched(docs, buckets), id_type), "shingle-matches")
+    known = materialize(matched.filter("n is not null").select("doc_id", "text_hash", "key", "key2", "n"), "shingle-names")
+    needs = matched.filter("n > 0").groupBy("key").agg(F.first("slots").alias("slots"), F.first("needs").alias("needs"), F.min("doc_id").alias("doc_id"))
+    needs = needs.select("key", F.xxhash64("doc_id").alias("h"), F.explode(F.arrays_zip("slots", "needs")).alias("z")).select("key", "h", F.col("z.slots").alias("slot"), F.col("z.needs").alias("need"))
+    lists = materialize(matched.filter("list is not null").groupBy("list", "slot", "key").agg(F.sum("times").alias("times")), "shingle-lists")
+    shared = lists.groupBy("slot", "key").agg(F.sum("times").alias("shared"))
+    asked = materialize(shared.join(needs, ["slot", "key"]).filter("shared >= need").select("slot", "key", "need", "h"), "shingle-candidates")
+    discard(matched)
+    fit = lists.join(asked.select("slot", "key"), ["slot", "key"], "left_semi")
+    several = fit.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list")
+    rows = materialize(fit.join(several, "list", "left_semi"), "shingle-lists")
+    discard(lists)
+    label = _links(docs, rows, asked)
+    discard(rows, asked)
+    named = known.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("one", F.coalesce("component", "key")).withColumn("two", F.when(F.col("component").isNull(), F.col("key2")).otherwise(0))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
+    first = named.filter("n > 0").groupBy("one", "two").agg(F.min(own).alias("first"), F.count("*").alias("k")).filter("k > 1").select(F.col("one").alias("of"), F.col("two").alias("of2"), "first")
+    joined = named.join(first, (F.col("one") == F.col("of")) & (F.col("two") == F.col("of2")), "left")
+    return joined.select("doc_id", "text_hash", "n", F.when((F.col("n") > 0) & F.col("first").isNotNull(), F.col("first")).otherwise(own).alias("least"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -307,84 +546,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a text of fewer than five is one shingle; one without words, or null, links with nothing. Rows with equal sets are
     linked (rows that repeat an id too); a null doc_id is never the smallest one unless all are null.
 
-    Equal sets are one class from the start. A set joins the slot of its size band, and the next band's if a linked set
-    may be there. Sets that share sketch cells are candidates; one that shares fewer cells in all than any linked set
-    would share with it is dropped. Cells that two sets share bound their intersection from below, which proves most
-    links round a list's hub; what isn't in one component then is compared exactly, first with hubs, at last in all
-    pairs of a list that are in different components. Lists, links and labels stay in Spark.
+    Equal sets are one class from the start (by a name of 128 bits). A set joins the slot of its size band, and the next
+    band's if a linked set may be there. Sets that share sketch cells are candidates; one that shares fewer cells in all
+    than any linked set would share with it is dropped. Candidates are compared with the hub of their lists, and only
+    what may still join two components is compared further. Each link is accepted on the words themselves.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    chars = docs.select(F.sum(F.length("text")).alias("n")).collect()[0]["n"] or 0
-    buckets = max(4, math.ceil(chars / 6 / BUCKET_ENTRIES))
-    matched = materialize(_matched(_sketched(docs, buckets), id_type), "shingle-matches")
-    known = matched.filter("members is null").select("doc_id", "key", "n", "slots", "needs")
-    lists = matched.filter("members is not null").withColumn("list", F.monotonically_increasing_id())
-    asked = known.filter("n > 0").groupBy("key").agg(F.first("slots").alias("slots"), F.first("needs").alias("needs"), F.min("doc_id").alias("doc_id"))
-    asked = asked.select("key", "doc_id", F.explode(F.arrays_zip("slots", "needs")).alias("z")).select("key", "doc_id", F.col("z.slots").alias("slot"), F.col("z.needs").alias("need"))
-    shared = lists.select("slot", "times", F.explode("members").alias("key")).groupBy("slot", "key").agg(F.sum("times").alias("shared"))
-    enough = materialize(shared.join(asked, ["slot", "key"]).filter("shared >= need").select("slot", "key", "doc_id", "need"), "shingle-candidates")
-    rows = lists.select("list", "slot", "times", "shingles", F.explode("members").alias("key")).join(enough.select("slot", "key"), ["slot", "key"], "left_semi")
-    kept = rows.groupBy("list", "slot", "times", "shingles").agg(F.sort_array(F.collect_set("key")).alias("members")).filter("size(members) > 1")
-    kept = materialize(kept.groupBy("slot", "members").agg(F.sum("shingles").alias("shingles"), F.sum("times").alias("times")).withColumn("list", F.xxhash64("slot", "members")), "shingle-lists")
-    size = known.filter("n > 0").groupBy("key").agg(F.first("n").alias("n")).join(enough.select("key").distinct(), "key", "left_semi")
-    size = materialize(size, "shingle-sizes")
-    links = materialize(docs.sparkSession.createDataFrame([], "a long, b long"), "links")
-    members = kept.select("list", "slot", "times", "shingles", F.explode("members").alias("key")).join(enough.select("slot", "key", "need"), ["slot", "key"])
-
-    def open_lists(links: DataFrame) -> DataFrame:
-        """Members with their component, of lists that hold several. A set that has a link to another component shares as
-        many cells with other components as it needs for a link at all; those that don't are left out, linear work that
-        leaves hardly a list of sets which merely quote the same passage."""
-        label = components(links).withColumnRenamed("node", "key")
-        placed = members.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        for _ in range(2):
-            placed = materialize(placed.join(several(placed), "list", "left_semi"), "open-lists")
-            enough_apart = placed.groupBy("slot", "key").agg(F.sum("times").alias("t"), F.first("need").alias("n")).filter("t >= n").select("slot", "key")
-            placed = placed.join(enough_apart, ["slot", "key"], "left_semi")
-        return materialize(placed.join(several(placed), "list", "left_semi"), "open-lists")
-
-    def several(placed: DataFrame) -> DataFrame:
-        return placed.groupBy("list").agg(F.count_distinct("component").alias("k")).filter("k > 1").select("list")
-
-    def with_hub(placed: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each list's hub with its members in other components, and the shingles in the cells they share."""
-        hub = placed.groupBy("list").agg(F.min_by(F.struct("key", "component"), F.xxhash64(F.lit(turn), "key")).alias("hub"))
-        pairs = placed.join(hub, "list").filter("component <> hub.component").select("slot", "shingles", F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b"))
-        return possible(pairs.groupBy("a", "b", "slot").agg(F.sum("shingles").alias("s")).groupBy("a", "b").agg(F.max("s").alias("shared")))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link, with the sizes."""
-        both = pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-        return both.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-
-    placed = members.withColumn("component", F.col("key"))
-    for turn in range(STAR_ROUNDS):
-        proven = with_hub(placed, turn).filter(100 * F.col("shared") >= PERCENT * (F.col("na") + F.col("nb") - F.col("shared")))
-        links = materialize(links.unionByName(proven.select("a", "b")), "links")
-        placed = open_lists(links)
-    if not placed.isEmpty():
-        asked_sets = enough.select("doc_id", "key").distinct().join(placed.select("key").distinct(), "key", "left_semi")
-        sets = _sets_of(docs, asked_sets)
-        links = materialize(links.unionByName(verified(materialize(with_hub(placed, STAR_ROUNDS).select("a", "b"), "pairs"), sets)), "links")
-        placed = open_lists(links).select("list", "slot", "times", "key", "component", "need")
-        other = placed.select("list", F.col("key").alias("other"), F.col("component").alias("theirs"), F.col("need").alias("theirs_need"))
-        pairs = placed.join(other, "list").filter("key < other and component <> theirs").groupBy(F.col("key").alias("a"), F.col("other").alias("b"), "slot").agg(F.sum("times").alias("t"), F.max(F.greatest("need", "theirs_need")).alias("n"))
-        pairs = pairs.filter("t >= n").select("a", "b").distinct()
-        links = materialize(links.unionByName(verified(materialize(possible(pairs).select("a", "b"), "pairs"), sets)), "links")
-    label = components(links).withColumnRenamed("node", "key")
-    named = known.join(label, "key", "left").withColumn("__class", F.when(F.col("n") > 0, F.coalesce("component", "key")))
-    smallest = named.filter("n > 0").groupBy(F.col("__class").alias("__of")).agg(F.min("doc_id").alias("__least"))
-    result = named.join(smallest, F.col("__class") == F.col("__of"), "left")
-    return result.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("__least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return classes(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """docs without those that link to one with a smaller doc_id, directly or over others; all columns stay.
+    """One row of docs of each component: that with the smallest doc_id, rows without one last; all columns stay.
 
-    Of rows with the same doc_id, all stay or go; a row without doc_id stays if its component has no other id.
+    Repeated rows are copies: one stays. Rows without words link with nothing and all stay.
     """
-    gone = near_duplicates(docs).filter("component_id < doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    of, text, gone, copies = (unused(docs, f"__{c}") for c in ("of", "text", "gone", "copies"))
+    per = classes(docs).filter("n > 0").groupBy("doc_id", "text_hash").agg(F.first("least").alias("least"), F.count("*").alias(copies))
+    other = ~(F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.text_hash") == F.col("text_hash")))
+    fate = materialize(per.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text), other.alias(gone), copies).filter(F.col(gone) | (F.col(copies) > 1)), "fates")
+    same = docs["doc_id"].eqNullSafe(fate[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == fate[text])
+    kept = docs.join(fate, same, "left_anti")
+    repeated = fate.filter(~F.col(gone))
+    if repeated.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy(of, text).orderBy(F.lit(0)))
+    once = docs.join(repeated, same).withColumn(gone, first).filter(F.col(gone) == 1)
+    return kept.unionByName(once.select(*docs.columns))
 
 
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,6 +356,12 @@ def test_repeated_and_null_ids(spark):
     got = shingle_join.near_duplicates(frame(spark, [t, t, t, "x", None], ids=[None, 5, 5, None, None])).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, -1), (-1, 5), (5, 5), (5, 5)]
     assert shingle_join.near_duplicates(frame(spark, [])).count() == 0
+    docs = frame(spark, [t, t, t, words(40, 2), None, words(40, 3), words(40, 3), words(40, 4), words(50, 5)], ids=[None, 5, 5, None, None, None, None, 5, 6])
+    docs = docs.withColumns({c: F.lit(1) for c in ("of", "__of", "gone", "__gone", "copies", "__copies", "__text", "key")})
+    left = shingle_join.keep_one_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in left.collect()) == sorted([(5, t), (-1, words(40, 2)), (-1, ""), (-1, words(40, 3)), (5, words(40, 4)), (6, words(50, 5))])
+    assert shingle_join.keep_one_each(frame(spark, [])).count() == 0
 
 
 def test_sketch_cells_bound_the_difference():
@@ -366,12 +372,52 @@ def test_sketch_cells_bound_the_difference():
         band = int(np.searchsorted(edges, n, side="right")) - 1
         top = edges[band + 1] - 1
         most = shingle_join.farthest(n, top)
-        cells, need, held = shingle_join.sketch_cells(a, band, top)
-        assert held.sum() == n
+        cells, need = shingle_join.sketch_cells(a, band, top)
         drop = rng.permutation(n)[: most // 2]
         b = np.unique(np.concatenate([np.delete(a, drop), rng.integers(0, 1 << 63, len(drop), dtype=np.uint64)]))
-        other, *_ = shingle_join.sketch_cells(b, band, top)
+        other, _ = shingle_join.sketch_cells(b, band, top)
         assert len(np.intersect1d(cells, other)) >= need >= 1
+        less = np.unique(rng.choice(a, max(1, 3 * n // 4), replace=False))
+        for other in (b, less):
+            apart = len(np.setxor1d(a, other))
+            assert (n == 700) * 0.7 * apart <= shingle_join.hamming(shingle_join.bit_sketch(a), shingle_join.bit_sketch(other)) <= apart
+
+
+def test_words_that_fool_polynomial_hashes_do_not_link(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    got = shingle_join.near_duplicates(frame(spark, [a, b, a], ids=[1, 2, 3])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 1}
+
+
+def related(n, seed):
+    """Copies of one text with few or many changes, texts that quote one passage, chains of small steps."""
+    rng, out = np.random.default_rng(seed), []
+    base, passage, step = words(150, seed).split(), words(60, seed + 1).split(), words(90, seed + 2).split()
+    for i in range(n):
+        changed = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 12))):
+            changed[k] = f"w{rng.integers(9) if i % 2 else rng.integers(1 << 30)}"
+        out.append(" ".join(changed))
+        out.append(" ".join([*words(60, 100 * seed + i).split(), *passage]))
+        step = list(step)
+        for k in rng.integers(0, 90, 2):
+            step[k] = f"s{rng.integers(1 << 30)}"
+        out.append(" ".join(step))
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("small", [2, 32])
+def test_links_between_and_within_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(shingle_join, "SMALL_LIST", small)
+    monkeypatch.setattr(shingle_join, "HUBS", 3)
+    monkeypatch.setattr(shingle_join, "HOT_CELL", 12)
+    monkeypatch.setattr(shingle_join, "FLUSH_ENTRIES", 4_000)
+    texts = related(40, small)
+    sizes, label = brute_components(texts)
+    got = {r["doc_id"]: r for r in shingle_join.near_duplicates(frame(spark, texts).repartition(2)).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(sizes, label, strict=True))
 
 
 def test_components(spark):
