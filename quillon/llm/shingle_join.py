@@ -15,13 +15,13 @@ WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union, that is, when 7 * symmetric difference <= sum of sizes.
 #: Entries that one bucket of sketch cells holds about; the number of buckets grows with the texts.
 BUCKET_ENTRIES = 4_000_000
-FLUSH_ENTRIES = 4_000_000
+FLUSH_ENTRIES = 1_000_000
 #: A cell that so many sets of one flush share passes as rows of its own and not through its bucket's memory.
 HOT_CELL = 1_000
 #: Lists of at most so many open entries are compared in one go, longer ones round so many hubs at a time.
 SMALL_LIST, HUBS = 32, 16
 _BATCH = 1 << 21
-_CACHE = 1 << 20
+_CACHE = 1 << 17
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
