@@ -10,13 +10,51 @@ from quillon.llm.storage import discard, materialize
 FILTER_BITS = 1 << 25
 
 
+#: Edges up to so many (32 MB) are solved by one task in memory; more by rounds over all executors.
+LOCAL_EDGES = 1 << 21
+
+
+def _solved(a, b):
+    """Nodes and their smallest reachable nodes, by hooking roots to smaller ones and jumping along the way."""
+    import numpy as np
+
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        now = label.copy()
+        for end in (u, v, label[u], label[v]):
+            np.minimum.at(now, end, low)
+        while (far := now[now] < now).any():
+            now[far] = now[now][far]
+        if (now == label).all():
+            return nodes, nodes[label]
+        label = now
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges(a, b), longs.
 
-    Alternating large-star and small-star steps; each step's edges are written to the shared folder. Edges stay spread
-    over the executors: the driver sees two numbers a round. The result may be discarded like a table.
+    A set of edges of proven small size is solved in one task. Others go by alternating large-star and small-star steps;
+    each step's edges are written to the shared folder, and the driver sees two numbers a round. The result may be
+    discarded like a table.
     """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    if now.count() <= LOCAL_EDGES:
+
+        def solve(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if held:
+                nodes, least = _solved(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
+
+        out = materialize(now.coalesce(1).mapInArrow(solve, "node long, component long"), "components")
+        discard(now)
+        return out
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,14 +14,13 @@ from quillon.llm.storage import discard, materialize, table, unused
 WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union, that is, when 7 * symmetric difference <= sum of sizes.
 #: Entries that one bucket of sketch cells holds about; the number of buckets grows with the texts.
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 2_000_000
 FLUSH_ENTRIES = 1_000_000
 #: A cell that so many sets of one flush share passes as rows of its own and not through its bucket's memory.
 HOT_CELL = 1_000
 #: Lists of at most so many open entries are compared in one go, longer ones round so many hubs at a time.
 SMALL_LIST, HUBS = 32, 16
 _BATCH = 1 << 21
-_CACHE = 1 << 17
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
@@ -45,28 +44,17 @@ def farthest(size: int, top: int) -> int:
     return (size + min(4 * size // 3, top)) // 7
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered for the commonest of a task."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def words_of(text: bytes) -> list[bytes]:
     """A-Z lower-cased; bytes.split() parts at just the six characters of the contract."""
     return text.lower().split()
 
 
-def shingle_set(words: list[bytes], known: _Words):
+def shingle_set(words: list[bytes]):
     """The sorted different hashes of a text's 5-word shingles; of all its words if there are fewer."""
     import numpy as np
+    import xxhash
 
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     if len(h) >= WORDS:
         n = len(h) - WORDS + 1
         total = h[:n] * np.uint64(_C[0])
@@ -189,7 +177,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known, edges, seen, row = _Words(), bounds(), set(), 0
+        edges, seen, row = bounds(), set(), 0
         cells, index, keys, slots, held = [], [], [], [], 0
         types = [pa.int32(), None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
@@ -223,7 +211,7 @@ def _sketched(docs: DataFrame, buckets: int) -> DataFrame:
             types[1] = part.schema.field(0).type
             rows = [[], [], [], [], []]
             for text in texts:
-                hashes = shingle_set(words_of(text), known)
+                hashes = shingle_set(words_of(text))
                 name, n = set_key(hashes), len(hashes)
                 own_slots, needs = [], []
                 if n:
@@ -328,8 +316,6 @@ def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known = _Words()
-
         def chosen():
             for batch in batches:
                 hit = in_filter(sent.value, batch.column(0).to_numpy())
@@ -338,7 +324,7 @@ def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         for _, texts in _texts(chosen(), 1):
             split = [w for w in map(words_of, texts) if w]
-            sets = [shingle_set(w, known) for w in split]
+            sets = [shingle_set(w) for w in split]
             columns = [pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bit_sketch(s) for s in sets], pa.binary()), pa.array([b" ".join(w) for w in split], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "n", "bits", "words"])
 
@@ -387,30 +373,13 @@ def linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return both.mapInArrow(exact, "a long, b long")
 
 
-def _star_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list's other sets with its hub b: the set whose cells most others share."""
-    size = rows.groupBy("list").agg(F.count("*").alias("size"))
-    placed = materialize(rows.select("list", "key", "times").join(size, "list"), "lists-sized")
-    score = placed.groupBy("key").agg(F.sum(F.col("times") * F.col("size")).alias("score"))
-    scored = materialize(placed.select("list", "key").join(score, "key"), "lists-scored")
-    discard(placed)
-    hub = scored.groupBy("list").agg(F.max(F.struct("score", "key")).alias("hub"))
-    pairs = scored.join(hub, "list").filter("key <> hub.key").select(F.col("key").alias("a"), F.col("hub.key").alias("b")).distinct()
-    out = materialize(pairs, "pairs")
-    discard(scored)
-    return out
-
-
-def _open(rows: DataFrame, asked: DataFrame, label: DataFrame) -> DataFrame:
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
     """key, component of the sets that may link to another component: such a set shares with sets of other components,
     in lists of several components, as many cells as it needs for a link at all."""
-    placed = rows.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).join(asked.select("slot", "key", "need"), ["slot", "key"])
-    for _ in range(2):
-        several = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
-        placed = placed.join(several, "list", "left_semi")
-        apart = placed.groupBy("slot", "key").agg(F.sum("times").alias("t"), F.first("need").alias("need")).filter("t >= need").select("slot", "key")
-        placed = placed.join(apart, ["slot", "key"], "left_semi")
-    return materialize(placed.select("key", "component").distinct(), "open-sets")
+    placed = rows.join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
+    apart = placed.join(several, "list", "left_semi").groupBy("slot", "key").agg(F.sum("times").alias("t"), F.first("need").alias("need"), F.first("component").alias("component"))
+    return materialize(apart.filter("t >= need").groupBy("key").agg(F.first("component").alias("component")), "open-sets")
 
 
 def _prefixes(open_sets: DataFrame, held: DataFrame) -> DataFrame:
@@ -425,21 +394,19 @@ def _prefixes(open_sets: DataFrame, held: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        known = _Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_set(w.split(b" "), known) for w in part.column(3).to_pylist()]
+                sets = [shingle_set(w.split(b" ")) for w in part.column(3).to_pylist()]
                 take = pa.array([i for i, s in enumerate(sets) for _ in range(len(s))], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64)), *(part.column(i).take(take) for i in range(3))], names=["shingle", "key", "n", "component"])
 
     texts = open_sets.join(held.select("key", "n", "words"), "key").select("key", "n", "component", "words")
     every = materialize(texts.mapInArrow(run, "shingle long, key long, n long, component long"), "open-shingles")
     shared = every.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle", "df")
-    crossing = every.join(shared, "shingle")
-    enough = crossing.groupBy("key").agg(F.count("*").alias("crossing"))
-    place = F.col("n") - F.col("crossing") + F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle")) - 1
-    ranked = crossing.join(enough.filter("crossing > 0"), "key").filter("4 * crossing >= 3 * n").withColumn("pos", place).filter("4 * pos <= n")
+    own = Window.partitionBy("key")
+    crossing = every.join(shared, "shingle").withColumns({"crossing": F.count("*").over(own), "place": F.row_number().over(own.orderBy("df", "shingle"))})
+    ranked = crossing.filter("4 * crossing >= 3 * n").withColumn("pos", F.expr("n - crossing + place - 1")).filter("4 * pos <= n")
     out = materialize(ranked.select("shingle", "key", "n", "component", "pos"), "open-prefixes")
     discard(every)
     return out
@@ -482,15 +449,15 @@ def _round(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _links(docs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame | None:
     """node, component of the sets that link, found without emitting all pairs of a list.
 
-    First each list's hub is compared with the others, which joins copies of one original. What is then in one component
+    First each list's hub, the set that shares most of all, is compared with the others, which joins copies of one original. What is then in one component
     needs no more pairs. Sets that may link across components are compared where their first shared shingles meet.
     """
     held = _held(docs, asked.select("key", "h"))
-    pairs = _star_pairs(rows)
+    pairs = materialize(rows.filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     links = materialize(linked(pairs, held), "links")
     discard(pairs)
     label = components(links)
-    open_sets = _open(rows, asked, label.withColumnRenamed("node", "key"))
+    open_sets = _open(rows, label.withColumnRenamed("node", "key"))
     if not open_sets.isEmpty():
         entries = _prefixes(open_sets, held)
         while True:
@@ -522,14 +489,13 @@ def classes(docs: DataFrame) -> DataFrame:
     known = materialize(matched.filter("n is not null").select("doc_id", "text_hash", "key", "key2", "n"), "shingle-names")
     needs = matched.filter("n > 0").groupBy("key").agg(F.first("slots").alias("slots"), F.first("needs").alias("needs"), F.min("doc_id").alias("doc_id"))
     needs = needs.select("key", F.xxhash64("doc_id").alias("h"), F.explode(F.arrays_zip("slots", "needs")).alias("z")).select("key", "h", F.col("z.slots").alias("slot"), F.col("z.needs").alias("need"))
-    lists = materialize(matched.filter("list is not null").groupBy("list", "slot", "key").agg(F.sum("times").alias("times")), "shingle-lists")
+    lists = matched.filter("list is not null").select("list", "slot", "times", "key")
     shared = lists.groupBy("slot", "key").agg(F.sum("times").alias("shared"))
-    asked = materialize(shared.join(needs, ["slot", "key"]).filter("shared >= need").select("slot", "key", "need", "h"), "shingle-candidates")
+    asked = materialize(shared.join(needs, ["slot", "key"]).filter("shared >= need"), "shingle-candidates")
+    fit = lists.join(asked.select("slot", "key", "need", "shared"), ["slot", "key"])
+    hubs = fit.groupBy("list").agg(F.max(F.struct("shared", "key")).alias("hub"), F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("list", F.col("hub.key").alias("hub"))
+    rows = materialize(fit.select("list", "slot", "times", "key", "need").join(hubs, "list"), "shingle-lists")
     discard(matched)
-    fit = lists.join(asked.select("slot", "key"), ["slot", "key"], "left_semi")
-    several = fit.groupBy("list").agg(F.count("*").alias("k")).filter("k > 1").select("list")
-    rows = materialize(fit.join(several, "list", "left_semi"), "shingle-lists")
-    discard(lists)
     label = _links(docs, rows, asked)
     discard(rows, asked)
     named = known.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("one", F.coalesce("component", "key")).withColumn("two", F.when(F.col("component").isNull(), F.col("key2")).otherwise(0))

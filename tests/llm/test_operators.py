@@ -420,7 +420,13 @@ def test_links_between_and_within_groups(spark, monkeypatch, small):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(sizes, label, strict=True))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 1 << 21])
+def test_components(spark, monkeypatch, bound):
+    import sys
+
+    monkeypatch.setattr(sys.modules["quillon.llm.components"], "LOCAL_EDGES", bound)
+    chain = [(0, 150), *((i, i - 1) for i in range(150, 1, -1))]
+    assert {r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
     got = components(spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i % 10 != 9], "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {i: i - i % 10 for i in range(41) if i != 40}
 
