@@ -7,10 +7,14 @@ against each other. The file is read once, on the driver, and sent to the execut
 from __future__ import annotations
 
 import json
+import re
 
 # The published pattern of this kind of tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern's \\s has it, in runs too long for a backtracking matcher's stack.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{512,}")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -38,11 +42,22 @@ def encoder(holder: dict):
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         names = tuple(special)
 
-        def encode(text: str) -> list[int]:
+        def short(text: str) -> list[int]:
             if any(name in text for name in names):
                 return encoding.encode(text, allowed_special="all")
             return encoding.encode_ordinary(text)
 
+        def encode(text: str) -> list[int]:
+            """A long run of white space is one piece of the pattern, less its last character if text follows: so the
+            text is cut there, and the matcher never sees the run."""
+            out, at = [], 0
+            for run in _RUN.finditer(text):
+                end = run.end() - (run.end() < len(text))
+                out += short(text[at : run.start()])
+                out += encoding._encode_single_piece(text[run.start() : end].encode())
+                at = end
+            return out + short(text[at:]) if at else short(text)
+
         holder["encode"] = encode
     return holder["encode"]
 
