@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import table
+from quillon.llm.storage import materialize, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>",
     re.S,
 )
+#: What any of them begins with. An opening without an end leaves no tags after it, so the rest is text.
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "noembed", "noframes", "xmp", "template", "svg", "math", "object", "canvas", "audio", "video"}
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in _RAW}
@@ -39,7 +42,9 @@ _BARRIER = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td
 SHARE = 0.8
 #: Around the container, text of these stays, and of others that hold one of them.
 _PROSE = {"p", "span", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "blockquote", "pre", "address", "ul", "ol", "li", "dl", "dt", "dd", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "details", "summary"}
-#: Places that each host's pages are dealt to when they meet the host's path.
+#: Up to so many bytes, measured, the hosts' paths are sent to every task and the pages stay where they are.
+SENT = 32 << 20
+#: Beyond that, places that each host's pages are dealt to when they meet the host's path.
 SALTS = 64
 
 
@@ -48,14 +53,25 @@ def _words(value: str) -> list[str]:
 
 
 class Page:
-    """Elements and text runs of a page. Elements: parent, generalised path, junk; runs: element, break before, text, in a link."""
+    """Elements and text runs of a page. Elements: parent, generalised step of the path, junk, within an article or main
+    element; runs: element, break before, text, in a link.
+
+    Each character is read a fixed number of times and open elements are counted by tag, so the time grows with the
+    length of the page, however deep or broken its markup is.
+    """
 
     def __init__(self, html: str):
-        self.parent, self.path, self.tag, self.junk = [-1], [""], [""], [False]
+        self.parent, self.step, self.tag, self.junk, self.own = [-1], [""], [""], [False], [False]
         self.runs: list[tuple[int, bool, str, bool]] = []
-        stack, at, fresh, link = [0], 0, True, False
+        stack, at, fresh, link, open_ = [0], 0, True, False, Counter()
+
+        def close_from(i: int) -> None:
+            open_.subtract(self.tag[e] for e in stack[i:])
+            del stack[i:]
+
         while True:
-            m = _TOKEN.search(html, at)
+            start = _START.search(html, at)
+            m = start and _TOKEN.match(html, start.start())
             end = m.start() if m else len(html)
             if end > at:
                 self.runs.append((stack[-1], fresh, html_lib.unescape(html[at:end]), link))
@@ -73,11 +89,14 @@ class Page:
                     continue
                 if name != "span":
                     fresh = True
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        if name != "span" or i == len(stack) - 1:
-                            del stack[i:]
-                        break
+                if name == "span":
+                    if self.tag[stack[-1]] == name:
+                        close_from(len(stack) - 1)
+                elif open_[name]:
+                    i = len(stack) - 1
+                    while self.tag[stack[i]] != name:
+                        i -= 1
+                    close_from(i)
                 continue
             if name in _RAW:
                 if not m[3].endswith("/"):
@@ -94,36 +113,53 @@ class Page:
                 fresh = True
                 link = False
                 while self.tag[stack[-1]] == "span" or (self.tag[stack[-1]] == "p" and name not in _VOID):
-                    stack.pop()
+                    close_from(len(stack) - 1)
             if name in _VOID:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                open_ = self.tag[stack[i]]
-                if open_ in _BARRIER.get(name, ()) or name not in _ENDS:
-                    break
-                if open_ in _ENDS[name]:
-                    del stack[i:]
-                    break
+            if any(open_[t] for t in _ENDS.get(name, ())):
+                for i in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[i]] in _BARRIER.get(name, ()):
+                        break
+                    if self.tag[stack[i]] in _ENDS[name]:
+                        close_from(i)
+                        break
             stack.append(self._element(stack[-1], name, m[3]))
+            open_[name] += 1
 
     def _element(self, parent: int, name: str, written: str) -> int:
         attributes = {a.lower(): html_lib.unescape(b or c or d) for a, b, c, d in _ATTRIBUTE.findall(written)} if written.strip() else {}
-        classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in attributes.get("class", "").split()})
+        classes = sorted({re.sub(r"[\d>]+", "#", c.lower()) for c in attributes.get("class", "").split()})
         junk = self.junk[parent]
         if not junk and name not in _KEPT_TAGS:
-            inside = parent
-            while name == "header" and inside > 0 and self.tag[inside] not in ("article", "main"):
-                inside = self.parent[inside]
-            own_header = name == "header" and inside > 0
+            own_header = name == "header" and self.own[parent]
             words = {*_words(attributes.get("class", "")), *_words(attributes.get("id", ""))}
             junk = (name in _JUNK_TAGS and not own_header) or attributes.get("role", "").lower() in _JUNK_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
             junk = junk or bool(words & (_JUNK_WORDS - {"header"} if own_header or name == "article" else _JUNK_WORDS)) or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
         self.parent.append(parent)
         self.tag.append(name)
-        self.path.append(f"{self.path[parent]}>{'.'.join([name, *classes])}")
+        self.step.append(".".join([name, *classes]))
+        self.own.append(self.own[parent] or name in ("article", "main"))
         self.junk.append(junk)
         return len(self.parent) - 1
 
+    def path(self, e: int) -> str:
+        """The steps from the page down to e."""
+        steps = []
+        while e > 0:
+            steps.append(self.step[e])
+            e = self.parent[e]
+        return "".join(f">{x}" for x in reversed(steps))
+
+    def at(self, path: str) -> set[int]:
+        """The elements with that path that aren't junk."""
+        steps = path.split(">")[1:]
+        depth = [0] + [-1] * (len(self.parent) - 1)  # steps agreed so far, -1 off the path
+        for e in range(1, len(depth)):
+            d = depth[self.parent[e]]
+            if 0 <= d < len(steps) and steps[d] == self.step[e]:
+                depth[e] = d + 1
+        return {e for e, d in enumerate(depth) if d == len(steps) and not self.junk[e]}
+
     def best(self) -> tuple[int, int]:
         """The element to vote for and the plain text (characters outside links and junk) that it holds."""
         mass = [0] * len(self.parent)
@@ -178,12 +214,13 @@ class Page:
     def extract(self, path: str | None) -> str:
         own, _ = self.best()
         holders, blocks = self.around(own)
-        mine = self.within({e for e, p in enumerate(self.path) if p == self.path[own] and not self.junk[e]} | {own} | blocks)
+        chosen = self.path(own)
+        mine = self.within(self.at(chosen) | {own} | blocks)
         for e in holders:
             mine[e] = True
-        if path is None or path == self.path[own]:
+        if path is None or path == chosen:
             return self.text(mine)
-        agreed = self.within({e for e, p in enumerate(self.path) if p == path and not self.junk[e]})
+        agreed = self.within(self.at(path))
         lost = any(mine[e] and not agreed[e] and not self.junk[e] and text.strip() for e, _, text, _ in self.runs)
         return self.text(mine if lost else agreed)
 
@@ -211,7 +248,8 @@ def container_votes(pages: DataFrame) -> DataFrame:
                 page = Page(html or "")
                 e, mass = page.best()
                 if e:
-                    votes[h, page.path[e]] = votes.get((h, page.path[e]), 0.0) + mass**0.5
+                    path = page.path(e)
+                    votes[h, path] = votes.get((h, path), 0.0) + mass**0.5
             if len(votes) > 10_000:
                 yield out()
         yield out()
@@ -231,11 +269,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     votes = container_votes(pages).groupBy("host", "path").agg(F.sum("weight").alias("weight"))
     won = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.round("weight", 3), F.col("path"))).alias("__path")).withColumnRenamed("host", "__host")
-    # a host may hold a third of all pages: its path is dealt to SALTS places, and its pages among them
-    won = won.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    placed = pages.select("page_id", "url", "html", F.coalesce(host(F.col("url")), F.lit("")).alias("__h"), salt.alias("__salt"))
-    with_path = placed.join(won, (F.col("__h") == F.col("__host")) & (F.col("__salt") == F.col("__to")), "left").select("page_id", "url", "html", "__path")
+    won = materialize(won, "host-paths")
+    size = won.agg(F.sum(F.octet_length("__host") + F.octet_length("__path") + 32)).collect()[0][0] or 0
+    placed = pages.select("page_id", "url", "html", F.coalesce(host(F.col("url")), F.lit("")).alias("__h"))
+    if size <= SENT:
+        joined = placed.join(F.broadcast(won), F.col("__h") == F.col("__host"), "left")
+    else:
+        # a host may hold a third of all pages: its path is dealt to SALTS places, and its pages among them
+        won = won.withColumn("__to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = placed.withColumn("__salt", salt).join(won, (F.col("__h") == F.col("__host")) & (F.col("__salt") == F.col("__to")), "left")
+    with_path = joined.select("page_id", "url", "html", "__path")
 
     def run(batches):
         import pyarrow as pa
