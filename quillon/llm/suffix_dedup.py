@@ -164,7 +164,7 @@ def repeated_reach(lefts: list[bytes], rights: list[bytes], copies, length: int
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
-    """__doc, __text_hash, __spans: the merged byte ranges covered by repeated strings, for documents that have any.
+    """__doc, __text_hash, __spans: the sorted byte ranges covered by repeated strings, for documents that have any.
 
     Three passes: leads that occur twice are counted; the surroundings of such anchors (length bytes to the right and
     length - lead to the left) are cut out, equal ones of a task twice at most, and dealt by sampled range splitters
@@ -197,24 +197,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                 hit = in_filter(sent.value, h)
                 if not len(hit):
                     continue
-                rows, places = rows[hit], places[hit]
-                left, right = [], []
-                for r, p in zip(rows.tolist(), places.tolist(), strict=True):
-                    left.append(texts[r][max(0, p - length + lead) : p])
-                    right.append(texts[r][p : p + length])
-                key = [xxhash.xxh3_128_digest(a + b"|%d|" % len(a) + b) for a, b in zip(left, right, strict=True)]
-                for i, k in enumerate(key):
+                # in a text of one letter every place is an anchor; equal ones in a row are sent as a range
+                sent_rows, first, last, key, left, right = [], [], [], [], [], []
+                for r, p in zip(rows[hit].tolist(), places[hit].tolist(), strict=True):
+                    before, after = texts[r][max(0, p - length + lead) : p], texts[r][p : p + length]
+                    k = xxhash.xxh3_128_digest(before + b"|%d|" % len(before) + after)
                     times = seen[k] = seen.get(k, 0) + 1
-                    if times > 2:  # twice tells all
-                        left[i] = right[i] = None
-                take = pa.array(rows)
+                    if key and key[-1] == k and sent_rows[-1] == r and last[-1] == p - 1:
+                        last[-1] = p
+                        continue
+                    sent_rows.append(r)
+                    first.append(p)
+                    last.append(p)
+                    key.append(k)
+                    left.append(before if times <= 2 else None)  # twice tells all
+                    right.append(after if times <= 2 else None)
+                take = pa.array(sent_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(places), pa.array(key, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["__doc", "__text_hash", "place", "key", "left", "right"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(key, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                    names=["__doc", "__text_hash", "place", "upto", "key", "left", "right"],
                 )
 
-    cut = materialize(plain.mapInArrow(surroundings, f"__doc {id_type}, __text_hash long, place long, key binary, left binary, right binary"), "surroundings")
-    different = cut.filter("right is not null").select("key", "left", "right")
+    cut = materialize(plain.mapInArrow(surroundings, f"__doc {id_type}, __text_hash long, place long, upto long, key binary, left binary, right binary"), "surroundings")
+    different = cut.filter("right is not null").select("key", "left", "right", (F.col("upto") - F.col("place") + 1).alias("n"))
     buckets = max(1, -(-different.count() // BUCKET_ROWS))
     leading = F.substring("right", 1, lead)
     dealt = different.repartitionByRange(buckets, leading).sortWithinPartitions(leading, "key")
@@ -230,36 +235,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
 
         held, last = [], None
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "left", "right")]
-            for key, left, right in zip(*columns, strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "left", "right", "n")]
+            for key, left, right, n in zip(*columns, strict=True):
                 if held and key == held[-1][0]:
-                    held[-1][3] += 1
+                    held[-1][3] += n
                     continue
                 if right[:lead] != last and len(held) >= BUCKET_ROWS:
                     yield result(held)
                     held = []
-                held.append([key, left, right, 1])
+                held.append([key, left, right, n])
                 last = right[:lead]
         if held:
             yield result(held)
 
     reach = dealt.mapInArrow(compare, "key binary, back long, ahead long")
-    spans = cut.select("__doc", "__text_hash", "place", "key").join(reach, "key").select("__doc", "__text_hash", F.struct((F.col("place") - F.col("back")).alias("a"), (F.col("place") + F.col("ahead")).alias("b")).alias("s"))
-    per = spans.groupBy("__doc", "__text_hash").agg(F.sort_array(F.collect_set("s")).alias("__spans"))
-    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
-
-    def join(state, s):
-        last = F.element_at(state, F.greatest(F.size(state), F.lit(1)))
-        touches = (F.size(state) > 0) & (last["b"] >= s["a"])
-        grown = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
-        return F.when(touches, F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(grown))).otherwise(F.concat(state, F.array(s)))
-
-    return per.withColumn("__spans", F.aggregate("__spans", empty, join))
+    spans = cut.select("__doc", "__text_hash", "place", "upto", "key").join(reach, "key").select("__doc", "__text_hash", F.struct((F.col("place") - F.col("back")).alias("a"), (F.col("upto") + F.col("ahead")).alias("b")).alias("s"))
+    return spans.groupBy("__doc", "__text_hash").agg(F.sort_array(F.collect_set("s")).alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """A row for each document: doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256.
 
+    Spans that overlap or touch are one.
+
     Every byte covered by a string of `length` bytes that also starts anywhere else goes, strings judged on the input;
     matches don't cross documents. docs needs doc_id and text (null: empty). Rows that repeat an id are documents of
     their own; equal ones repeat each other. Other columns are ignored.
@@ -277,13 +275,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
             out = {"kept": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = (text or "").encode()
-                parts, at = [], 0
+                parts, at, runs, end = [], 0, 0, -1
                 for a, b in zip(starts or [], ends or [], strict=True):
-                    parts.append(data[at:a])
-                    at = b
+                    runs += a > end
+                    parts.append(data[at : max(at, a)])
+                    at = end = max(at, b)
                 parts.append(data[at:])
                 kept = b"".join(parts)
-                for name, x in zip(out, (kept, len(data), len(data) - len(kept), len(starts or []), hashlib.sha256(kept).hexdigest()), strict=True):
+                for name, x in zip(out, (kept, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
                     out[name].append(x)
             types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["doc_id", *out])
@@ -292,4 +291,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """The digest columns and, behind them, text: the remaining bytes as a string (torn characters as U+FFFD)."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.decode("kept", F.lit("UTF-8")).alias("text"))
