@@ -40,8 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     each step's edges are written to the shared folder, and the driver sees two numbers a round. The result may be
     discarded like a table.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
-    if now.count() <= LOCAL_EDGES:
+    if edges.count() <= LOCAL_EDGES:
 
         def solve(batches):
             import numpy as np
@@ -52,9 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
                 nodes, least = _solved(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["node", "component"])
 
-        out = materialize(now.coalesce(1).mapInArrow(solve, "node long, component long"), "components")
-        discard(now)
-        return out
+        return materialize(edges.select("a", "b").filter("a <> b").coalesce(1).mapInArrow(solve, "node long, component long"), "components")
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

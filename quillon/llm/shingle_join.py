@@ -19,7 +19,7 @@ FLUSH_ENTRIES = 1_000_000
 #: A cell that so many sets of one flush share passes as rows of its own and not through its bucket's memory.
 HOT_CELL = 1_000
 #: Lists of at most so many open entries are compared in one go, longer ones round so many hubs at a time.
-SMALL_LIST, HUBS = 32, 16
+SMALL_LIST, HUBS = 64, 64
 _BATCH = 1 << 21
 _C = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
@@ -417,33 +417,32 @@ _FITS = "{a}.component <> {b}.component and 7 * ({a}.n - {a}.pos) >= 3 * ({a}.n
 
 
 def _pruned(entries: DataFrame) -> DataFrame:
-    """Entries for which some other component's entry of the same list may fit, by that list's least size and reach."""
-    per = entries.groupBy("shingle", "component").agg(F.min("n").alias("n"), F.max(F.expr("4 * n - 7 * pos")).alias("reach"))
-    small, far = F.struct("n", "component"), F.struct("reach", "component")
-    ends = per.groupBy("shingle").agg(F.min(small).alias("small"), F.max(far).alias("far"), F.count("*").alias("k")).filter("k > 1").select("shingle", "small", "far")
-    rest = per.join(ends, "shingle").groupBy("shingle").agg(F.first("small").alias("small"), F.first("far").alias("far"), F.min(F.when(F.col("component") != F.col("small.component"), F.col("n"))).alias("small2"), F.max(F.when(F.col("component") != F.col("far.component"), F.col("reach"))).alias("far2"))
-    joined = entries.join(rest, "shingle")
-    least = F.when(F.col("small.component") == F.col("component"), F.col("small2")).otherwise(F.col("small.n"))
-    reach = F.when(F.col("far.component") == F.col("component"), F.col("far2")).otherwise(F.col("far.reach"))
-    return joined.filter((3 * least <= F.expr("4 * n - 7 * pos")) & (3 * F.col("n") <= reach)).select(*entries.columns)
-
-
-def _round(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries for which some other component's entry of the same list may fit, by that list's least size and reach; with the
+    number of entries of their list (size) and of their component in it (own)."""
+    per = entries.groupBy("shingle", "component").agg(F.min("n").alias("least"), F.max(F.expr("4 * n - 7 * pos")).alias("reach"), F.count("*").alias("own"))
+    small, far = F.struct("least", "component"), F.struct("reach", "component")
+    ends = per.groupBy("shingle").agg(F.min(small).alias("small"), F.max(far).alias("far"), F.count("*").alias("k"), F.sum("own").alias("size")).filter("k > 1").drop("k")
+    both = per.join(ends, "shingle")
+    rest = both.groupBy("shingle").agg(F.min(F.when(F.col("component") != F.col("small.component"), F.col("least"))).alias("small2"), F.max(F.when(F.col("component") != F.col("far.component"), F.col("reach"))).alias("far2"))
+    known = both.join(rest, "shingle").select("shingle", "component", "own", "size", F.when(F.col("small.component") == F.col("component"), F.col("small2")).otherwise(F.col("small.least")).alias("small"), F.when(F.col("far.component") == F.col("component"), F.col("far2")).otherwise(F.col("far.reach")).alias("far"))
+    return entries.join(known, ["shingle", "component"]).filter("3 * small <= 4 * n - 7 * pos and 3 * n <= far").select(*_ENTRY, "own", "size")
+
+
+_ENTRY = ["shingle", "key", "n", "component", "pos"]
+
+
+def _round(fit: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to compare now, and the entries that aren't done with it.
 
-    A list of at most SMALL_LIST entries is compared whole. Of a longer one HUBS entries are compared with all; they are
-    done then. So an entry makes at most SMALL_LIST or HUBS pairs a round.
+    A list of at most SMALL_LIST entries is compared whole. Of a longer one HUBS entries are compared with all, those of
+    components with few entries first; they are done then. So an entry makes at most SMALL_LIST or HUBS pairs a round.
     """
-    size = entries.groupBy("shingle").agg(F.count("*").alias("size"))
-    sized = materialize(entries.join(size, "shingle"), "open-sized")
-    small, large = sized.filter(F.col("size") <= SMALL_LIST), sized.filter(F.col("size") > SMALL_LIST)
+    small, large = fit.filter(F.col("size") <= SMALL_LIST), fit.filter(F.col("size") > SMALL_LIST)
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.shingle = y.shingle and x.key < y.key and " + _FITS.format(a="x", b="y"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    hubs = large.groupBy("shingle", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part")).agg(F.max(F.struct("n", "key", "component", "pos")).alias("hub")).select("shingle", "hub.*")
+    hubs = large.groupBy("shingle", F.pmod(F.xxhash64("key"), F.lit(HUBS)).alias("part")).agg(F.min(F.struct("own", "key", "n", "component", "pos")).alias("hub")).select("shingle", "hub.*")
     pairs = pairs.unionByName(large.alias("x").join(hubs.alias("y"), F.expr("x.shingle = y.shingle and x.key <> y.key and " + _FITS.format(a="x", b="y"))).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
-    left = large.select(*entries.columns).join(hubs.select("shingle", "key"), ["shingle", "key"], "left_anti")
-    out = materialize(pairs.distinct(), "pairs"), materialize(left, "open-left")
-    discard(sized)
-    return out
+    left = large.select(*_ENTRY).join(hubs.select("shingle", "key"), ["shingle", "key"], "left_anti")
+    return materialize(pairs.distinct(), "pairs"), materialize(left, "open-left")
 
 
 def _links(docs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame | None:
