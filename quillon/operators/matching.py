@@ -261,7 +261,7 @@ def narrative_names(sentences: DataFrame, names: DataFrame, most: int = 3) -> Da
     asked = placed.select("sentence_id", F.col("x.at").alias("at"), F.col("x.n").alias("len"), F.lower(F.array_join("x.g", " ")).alias("key"), (F.col("x.n") > 1).alias("several"), F.col("x.g")[0].rlike(r"^\p{Lu}").alias("capital")).filter("several or capital")
     hits = asked.join(table.drop("n"), "key")
     per = hits.groupBy("sentence_id").agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("len")).alias("m"), "key", "actor"))).alias("h"))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,m:int,key:string,actor:string>>").alias("kept"))
+    zero = F.struct(F.lit(0).alias("end"), F.slice("h", 1, 0).alias("kept"))
     kept = F.aggregate("h", zero, lambda s, h: F.when(h["at"] >= s["end"], F.struct((h["at"] - h["m"]).alias("end"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s), lambda s: s["kept"])
     return per.select("sentence_id", F.explode(kept).alias("x")).select("sentence_id", "x.at", "x.key", "x.actor")
 

@@ -10,15 +10,13 @@ from quillon.plans.registry import query
 from quillon.sources.library import read
 from quillon.sources.shared import keep
 
-# Ties between customers (even ids) and parts (odd ids) of dear lines; the layer is the order's priority.
-_TIES = "ties AS (SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, o_orderpriority AS layer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 44)"
+# Ties between customers (even ids) and parts (odd ids); the layer is the order's priority.
+_TIES = "ties AS (SELECT DISTINCT o_custkey * 2 AS a, l_partkey * 2 + 1 AS b, o_orderpriority AS layer FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _NEAR = _TIES + ", near AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM ties UNION ALL SELECT b, a FROM ties) WHERE a <> b)"
 
 
-def ties(spark, sf_dir, least: int | None = 44) -> DataFrame:
-    """Those of _TIES; with least=None those of all lines."""
+def ties(spark, sf_dir) -> DataFrame:
     o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    l = l if least is None else l.filter(F.col("l_quantity") >= least)
     joined = l.join(o, l.l_orderkey == o.o_orderkey)
     return joined.select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), F.col("o_orderpriority").alias("layer")).distinct()
 
@@ -71,15 +69,107 @@ def graph_associations(spark, sf_dir):
 
 @query("graph_path")
 def graph_path(spark, sf_dir):
-    edges = ties(spark, sf_dir, least=None).withColumn("cost", F.lit(1.0))
+    edges = ties(spark, sf_dir).withColumn("cost", F.lit(1.0))
     start, end = graph.leads(edges, least=1).orderBy(F.desc("score"), "a", "b").select("a", "b").first() or (0, 1)
-    found = graph.paths(edges, start, end)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "cost")
+    found = graph.paths(edges, start, end, checkpoint=_saved)
+    return found.select(_written("path").alias("path"), "cost")
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    return keep(df, "frontier")
+
+
+def _written(path: str):
+    return F.array_join(F.transform(path, lambda x: x.cast("string")), ">")
+
+
+# A small graph of places and markets: nations, their regions and the market segments that many of their customers are in.
+_PLACES_SQL = """WITH RECURSIVE c AS (SELECT c_nationkey AS n, c_mktsegment AS s, count(*) AS k FROM customer GROUP BY ALL), t AS (SELECT n_nationkey::BIGINT AS a, 100 + n_regionkey::BIGINT AS b, 'official' AS layer FROM nation UNION SELECT n, 200 + (SELECT count(DISTINCT s) FROM c z WHERE z.s < c.s), 'reports' FROM c WHERE k * 25 >= (SELECT sum(k) FROM c z WHERE z.s = c.s)),
+e AS (SELECT a, b, min(CASE layer WHEN 'official' THEN 1.0::DOUBLE ELSE 1.75::DOUBLE END) AS cost FROM (SELECT a, b, layer FROM t UNION ALL SELECT b, a, layer FROM t) GROUP BY a, b), d AS (SELECT a AS n, 0.5::DOUBLE * log2(1 + count(*)) AS toll FROM e GROUP BY a),
+w(spot, arrived, so_far, path) AS (SELECT 1::BIGINT, 0::DOUBLE, 0::DOUBLE, [1::BIGINT] UNION ALL SELECT e.b, so_far + cost, so_far + cost + toll, list_append(path, e.b) FROM w JOIN e ON e.a = w.spot JOIN d ON d.n = e.b WHERE len(path) <= 4 AND NOT list_contains(path, e.b) AND spot <> 18),
+f AS (SELECT path, arrived AS cost FROM w WHERE spot = 18),
+p1 AS (SELECT * FROM f ORDER BY round(cost, 6), len(path), path LIMIT 1), p2 AS (SELECT * FROM f WHERE NOT list_has_any(path, (SELECT path[2:-2] FROM p1)) ORDER BY round(cost, 6), len(path), path LIMIT 1),
+p3 AS (SELECT * FROM f WHERE NOT list_has_any(path, (SELECT path[2:-2] FROM p1)) AND NOT list_has_any(path, (SELECT path[2:-2] FROM p2)) ORDER BY round(cost, 6), len(path), path LIMIT 1)"""
+
+
+def places(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("k"))
+    names = c.select("c_mktsegment").distinct().withColumn("s", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)  # five segments
+    total = c.groupBy("c_mktsegment").agg(F.sum("k").alias("total"))
+    named = c.join(names, "c_mktsegment").join(total, "c_mktsegment").filter("k * 25 >= total")
+    market = named.select(F.col("c_nationkey").cast("long").alias("a"), (200 + F.col("s")).cast("long").alias("b"), F.lit("reports").alias("layer"))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (100 + F.col("n_regionkey")).cast("long").alias("b"), F.lit("official").alias("layer")).unionByName(market)
+
+
+@query("graph_chains", _PLACES_SQL + " SELECT 1 AS place, array_to_string(path, '>') AS path, round(cost, 6) AS cost FROM p1 UNION ALL SELECT 2, array_to_string(path, '>'), round(cost, 6) FROM p2 UNION ALL SELECT 3, array_to_string(path, '>'), round(cost, 6) FROM p3")
+def graph_chains(spark, sf_dir):
+    found = graph.alternatives(graph.layer_costs(places(spark, sf_dir)), 1, 18, k=3, steps=4, checkpoint=_saved)
+    return spark.createDataFrame([(i + 1, ">".join(map(str, p)), float(c)) for i, (p, c) in enumerate(found)], "place int, path string, cost double")
+
+
+@query("graph_case_file")
+def graph_case_file(spark, sf_dir):
+    pins = spark.createDataFrame([(1,), (7,), (18,), (24,)], "node long")
+    grid, connectors = graph.case_file(graph.layer_costs(places(spark, sf_dir)), pins, steps=4, checkpoint=_saved)
+    chains = grid.select("start", "end", _written("path").alias("path"), "cost")
+    return chains.unionByName(connectors.select(F.lit(None).cast("long").alias("start"), F.col("node").alias("end"), F.lit("connector").alias("path"), F.col("chains").cast("double").alias("cost")))
+
+
+@query("graph_matrix", f"WITH {_TIES}, s AS (SELECT DISTINCT a, b, layer FROM (SELECT * FROM ties UNION ALL SELECT b, a, layer FROM ties)), i AS (SELECT b AS node FROM s WHERE a = 3 GROUP BY b ORDER BY count(*) DESC, b LIMIT 60) SELECT a, b, count(*) AS links FROM (SELECT DISTINCT a.node AS a, b.node AS b, s.b AS via FROM i a JOIN s ON s.a = a.node JOIN s t ON t.b = s.b JOIN i b ON b.node = t.a WHERE a.node < b.node AND s.b <> 3) GROUP BY a, b")
+def graph_matrix(spark, sf_dir):
+    t = ties(spark, sf_dir)
+    sym = t.select("a", "b").unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    inner = t.unionByName(t.select(F.col("b").alias("a"), F.col("a").alias("b"), "layer")).filter("a = 3").distinct().groupBy("b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "b").limit(60).select(F.col("b").alias("node"))
+    reach = F.broadcast(inner.withColumnRenamed("node", "a"))  # 60 rows
+    ends = sym.join(reach, "a", "left_semi").filter("b <> 3")
+    linked = ends.select("a", F.col("b").alias("via")).join(ends.select(F.col("a").alias("c"), F.col("b").alias("via")), "via").filter("a < c")
+    return linked.groupBy("a", F.col("c").alias("b")).agg(F.count("*").alias("links"))
+
+
+@query("graph_ego", _PLACES_SQL + ", i AS (SELECT DISTINCT CASE WHEN a = 101 THEN b ELSE a END AS node FROM t WHERE a = 101 OR b = 101), j AS (SELECT node FROM i UNION SELECT b FROM t JOIN i ON a = node WHERE b >= 200) SELECT a, b, count(DISTINCT layer) AS links FROM t JOIN j x ON x.node = a JOIN j y ON y.node = b GROUP BY a, b")
+def graph_ego(spark, sf_dir):
+    t = places(spark, sf_dir)
+    hub = t.filter("b = 101").select(F.col("a").alias("node"))
+    # one more node ties the region's nations and their markets together, so the neighbourhood has ties of its own
+    near = hub.unionByName(t.join(hub, F.col("a") == F.col("node"), "left_semi").filter("b >= 200").select(F.col("b").alias("node"))).distinct()
+    return graph.ego_matrix(t.unionByName(near.select(F.lit(-1).cast("long").alias("a"), F.col("node").alias("b"), F.lit("center").alias("layer"))), -1)
+
+
+@query("graph_canonical", "SELECT a, b, rel, layer, max(weight) AS weight FROM (SELECT o_custkey - o_custkey % 3 AS a, l_suppkey - l_suppkey % 3 AS b, l_returnflag AS rel, o_orderpriority AS layer, l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE a <> b GROUP BY a, b, rel, layer")
+def graph_canonical(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    t = l.select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("rel"), F.col("o_orderpriority").alias("layer"), F.col("l_quantity").alias("weight"))
+    roots = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_custkey") - F.col("c_custkey") % 3).alias("root")).filter("root <> node")
+    return graph.canonical(t, roots)
+
+
+@query("graph_entity", "SELECT n_nationkey AS id, n_name AS label FROM nation WHERE n_nationkey IN (4, 9)")
+def graph_entity(spark, sf_dir):
+    e = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    return graph.entity(e, "nation_4").unionByName(graph.entity(e, "Nation [9]")).unionByName(graph.entity(e, "NATION"))
+
+
+@query("event_relations", "WITH f AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT a, b, CASE WHEN a % 100 = 7 THEN 'caused' ELSE 'followed by' END AS rel FROM f WHERE b IS NOT NULL")
+def event_relations(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("subject"), "ts")
+    after = F.lead("event_id").over(Window.partitionBy("subject").orderBy("ts", "event_id"))
+    by_hand = events.select(F.col("event_id").alias("a"), after.alias("b"), F.lit("caused").alias("rel")).filter("b is not null and a % 100 = 7")
+    return graph.event_relations(events, by_hand)
+
+
+@query("graph_tie_list", f"WITH {_TIES}, w AS (SELECT a, b, layer, CASE WHEN a % 4 = 0 THEN 'buys' ELSE 'orders' END AS rel, (a * 7 + b * 3) % 101 AS weight FROM ties) SELECT a, b, rel, layer, weight, rank, FALSE AS last FROM (SELECT *, row_number() OVER (PARTITION BY layer, rel ORDER BY weight DESC, a, b)::INTEGER AS rank FROM w) WHERE rank <= 25")
+def graph_tie_list(spark, sf_dir):
+    t = ties(spark, sf_dir).withColumns({"rel": F.when(F.col("a") % 4 == 0, "buys").otherwise("orders"), "weight": (F.col("a") * 7 + F.col("b") * 3) % 101})
+    return graph.tie_list(t).select("a", "b", "rel", "layer", "weight", "rank", "last")
 
 
 @query("graph_rings")
 def graph_rings(spark, sf_dir):
-    edges = ties(spark, sf_dir, least=None)
+    edges = ties(spark, sf_dir)
     return graph.rings(edges, graph.degrees(edges).orderBy(F.desc("degree"), "node").first()["node"])
 
 

@@ -50,10 +50,10 @@ def names_prepared(spark, sf_dir):
 TEXT_NAMES = [("Q1", "In the", False), ("Q1", "Tion", False), ("Q2", "Is and", False), ("Q3", "The", False), ("Q3", "The and", False), ("Q4", "Erin", False), ("Q5", "Thre", False), ("Q6", "Ertio", True), ("Q6", "Of the", False), ("Q7", "An", False)]
 _FOUND_SQL = r"""WITH names(actor, name, manual) AS (VALUES """ + ", ".join(f"('{a}', '{n}', {str(m).upper()})" for a, n, m in TEXT_NAMES) + r"""),
 n AS (SELECT *, string_split(name, ' ') AS tokens FROM names), w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(len(w))) AS at FROM w), q AS (SELECT *, w[at + 1] AS word FROM p),
-h AS (SELECT DISTINCT doc_id, actor, name, at, at + len(tokens) AS upto FROM q JOIN n ON word = tokens[1] WHERE w[at + 1:at + len(tokens)] = tokens AND (name <> 'The' OR len(list_filter(list_concat(w[greatest(at - 5, 1):at], w[at + 2:at + 7]), lambda x: regexp_matches(x, '(?i)rea'))) > 0)
-UNION SELECT DISTINCT doc_id, actor, name, at, at + 1 FROM q JOIN n ON manual AND len(tokens) = 1 AND length(name) >= 5 WHERE length(word) - length(name) BETWEEN 1 AND 3 AND starts_with(word, name) AND regexp_matches(substr(word, length(name) + 1), '^\p{Ll}+$')
-UNION SELECT DISTINCT doc_id, actor, name, at, at + len(tokens) FROM q JOIN n ON word = upper(tokens[1]) WHERE length(replace(name, ' ', '')) >= 6 AND array_to_string(w[at + 1:at + len(tokens)], ' ') = upper(name) AND upper(name) <> name)"""
+p AS (SELECT doc_id, w, unnest(range(len(w))) AS "at" FROM w), q AS (SELECT *, w["at" + 1] AS word FROM p),
+h AS (SELECT DISTINCT doc_id, actor, name, "at", "at" + len(tokens) AS upto FROM q JOIN n ON word = tokens[1] WHERE w["at" + 1:"at" + len(tokens)] = tokens AND (name <> 'The' OR len(list_filter(list_concat(w[greatest("at" - 5, 1):"at"], w["at" + 2:"at" + 7]), lambda x: regexp_matches(x, '(?i)rea'))) > 0)
+UNION SELECT DISTINCT doc_id, actor, name, "at", "at" + 1 FROM q JOIN n ON manual AND len(tokens) = 1 AND length(name) >= 5 WHERE length(word) - length(name) BETWEEN 1 AND 3 AND starts_with(word, name) AND regexp_matches(substr(word, length(name) + 1), '^\p{Ll}+$')
+UNION SELECT DISTINCT doc_id, actor, name, "at", "at" + len(tokens) FROM q JOIN n ON word = upper(tokens[1]) WHERE length(replace(name, ' ', '')) >= 6 AND array_to_string(w["at" + 1:"at" + len(tokens)], ' ') = upper(name) AND upper(name) <> name)"""
 
 
 def _names(spark):
@@ -65,17 +65,17 @@ def _found(spark, sf_dir):
     return matching.found(read(spark, sf_dir, "documents"), _names(spark), {"The": ["rea"]})
 
 
-@query("names_found", _FOUND_SQL + " SELECT doc_id, actor, name, at, upto FROM h")
+@query("names_found", _FOUND_SQL + ' SELECT doc_id, actor, name, "at", upto FROM h')
 def names_found(spark, sf_dir):
     return _found(spark, sf_dir)
 
 
-_LONGEST_SQL = _FOUND_SQL + r""", l AS (SELECT doc_id, list({'e': upto, 's': at, 'o': '|' || actor || ':' || name || ':' || CAST(at AS VARCHAR) || ':' || CAST(upto AS VARCHAR)} ORDER BY at, upto DESC, name, actor) AS hits FROM h GROUP BY doc_id),
+_LONGEST_SQL = _FOUND_SQL + r""", l AS (SELECT doc_id, list({'e': upto, 's': "at", 'o': '|' || actor || ':' || name || ':' || CAST("at" AS VARCHAR) || ':' || CAST(upto AS VARCHAR)} ORDER BY "at", upto DESC, name, actor) AS hits FROM h GROUP BY doc_id),
 k AS (SELECT doc_id, list_reduce(list_prepend({'e': 0::BIGINT, 's': -1::BIGINT, 'o': ''}, hits), lambda a, x: CASE WHEN x.s >= a.e THEN {'e': x.e, 's': x.s, 'o': a.o || x.o} ELSE a END).o AS o FROM l),
 m AS (SELECT doc_id, string_split(unnest(string_split(substr(o, 2), '|')), ':') AS x FROM k)"""
 
 
-@query("names_longest", _LONGEST_SQL + " SELECT doc_id, x[1] AS actor, x[2] AS name, CAST(x[3] AS INTEGER) AS at, CAST(x[4] AS INTEGER) AS upto FROM m")
+@query("names_longest", _LONGEST_SQL + ' SELECT doc_id, x[1] AS actor, x[2] AS name, CAST(x[3] AS INTEGER) AS "at", CAST(x[4] AS INTEGER) AS upto FROM m')
 def names_longest(spark, sf_dir):
     return matching.longest(_found(spark, sf_dir))
 
@@ -178,10 +178,10 @@ _SAID_SQL = f"t AS (SELECT s_suppkey AS sentence_id, 'Then ' || {_name_sql('s_su
 _TABLE_SQL = f"n AS (SELECT lower({_name_sql('(p_partkey * 5)')}) AS key, p_partkey % 40 AS actor FROM part UNION ALL SELECT 'bravo', 1000 UNION ALL SELECT 'alfa', 1001), k AS (SELECT key, CASE WHEN count(DISTINCT actor) = 1 THEN min(actor) END AS actor FROM n GROUP BY key)"
 
 
-@query("narrative_names", rf"""WITH {_SAID_SQL}, {_TABLE_SQL}, w AS (SELECT sentence_id, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM t), g AS (SELECT sentence_id, w, at, n FROM (SELECT *, unnest(range(len(w))) AS at FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE at + n <= len(w)),
-h AS (SELECT sentence_id, at, n, key, actor FROM g JOIN k ON key = lower(array_to_string(w[at + 1:at + n], ' ')) WHERE n > 1 OR regexp_matches(w[at + 1], '^\p{{Lu}}')),
-l AS (SELECT sentence_id, list_reduce(list_prepend({{'e': 0::BIGINT, 's': -1::BIGINT, 'o': ''}}, list({{'e': at + n, 's': at, 'o': '|' || CAST(at AS VARCHAR) || ':' || key || ':' || coalesce(CAST(actor AS VARCHAR), '')}} ORDER BY at, n DESC)), lambda a, x: CASE WHEN x.s >= a.e THEN {{'e': x.e, 's': x.s, 'o': a.o || x.o}} ELSE a END).o AS o FROM h GROUP BY sentence_id),
-m AS (SELECT sentence_id, string_split(unnest(string_split(substr(o, 2), '|')), ':') AS x FROM l) SELECT sentence_id, CAST(x[1] AS INTEGER) AS at, x[2] AS key, CASE WHEN x[3] <> '' THEN CAST(x[3] AS BIGINT) END AS actor FROM m""")
+@query("narrative_names", rf"""WITH {_SAID_SQL}, {_TABLE_SQL}, w AS (SELECT sentence_id, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '') AS w FROM t), g AS (SELECT sentence_id, w, "at", n FROM (SELECT *, unnest(range(len(w))) AS "at" FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE "at" + n <= len(w)),
+h AS (SELECT sentence_id, "at", n, key, actor FROM g JOIN k ON key = lower(array_to_string(w["at" + 1:"at" + n], ' ')) WHERE n > 1 OR regexp_matches(w["at" + 1], '^\p{{Lu}}')),
+l AS (SELECT sentence_id, list_reduce(list_prepend({{'e': 0::BIGINT, 's': -1::BIGINT, 'o': ''}}, list({{'e': "at" + n, 's': "at", 'o': '|' || CAST("at" AS VARCHAR) || ':' || key || ':' || coalesce(CAST(actor AS VARCHAR), '')}} ORDER BY "at", n DESC)), lambda a, x: CASE WHEN x.s >= a.e THEN {{'e': x.e, 's': x.s, 'o': a.o || x.o}} ELSE a END).o AS o FROM h GROUP BY sentence_id),
+m AS (SELECT sentence_id, string_split(unnest(string_split(substr(o, 2), '|')), ':') AS x FROM l) SELECT sentence_id, CAST(x[1] AS INTEGER) AS "at", x[2] AS key, CASE WHEN x[3] <> '' THEN CAST(x[3] AS BIGINT) END AS actor FROM m""")
 def narrative_names(spark, sf_dir):
     s, p = F.col("s_suppkey"), F.col("p_partkey")
     said = read(spark, sf_dir, "supplier").select(s.alias("sentence_id"), F.concat(F.lit("Then "), _name(s), F.lit(" met alfa Bravo and "), _name(s + 3)).alias("text"))
