@@ -330,6 +330,6 @@ def looks_like_references(text: Column) -> Column:
 
 
 def looks_like_table(text: Column) -> Column:
-    """Whether a sentence is a row of a table: more digits than half its letters, or three gaps."""
-    digits, letters = F.length(F.regexp_replace(text, "[^0-9]", "")), F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (2 * digits > letters) | (F.size(F.split(text, r"\s{3,}|\t|\|")) > 3)
+    """Whether a sentence is a table, a caption or a line of contents: leaders of dots, a caption's head, or more than 15 % digits."""
+    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+    return text.contains(".....") | text.contains("…………") | text.rlike(r"\b(Figure|Table|Chart|Map)\s+[0-9]+[.:]|^Source:") | (digits > 0.15 * F.length(text))

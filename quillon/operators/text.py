@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.library import TOKEN_GAP, token_counts, tokens
@@ -34,13 +32,28 @@ def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
     return found.filter("n > 0").select("doc_id", F.col("n").cast("long").alias("n"))
 
 
-def bm25(counts: DataFrame, words: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """doc_id, score: textbook BM25 over exact words, higher is better."""
-    lengths = counts.groupBy("doc_id").agg(F.sum("n").alias("len"))
-    corpus = lengths.agg(F.count("*").alias("corpus"), F.avg("len").alias("avg"))
-    hits = counts.filter(F.col("token").isin(words))
+def own_words(text: str = "text") -> Column:
+    """The tokens of a text, lower case, in order."""
+    return F.array_remove(F.split(F.lower(text), TOKEN_GAP), "")
+
+
+#: Rows of a taxonomy or a word list that are sent to every task; a larger one is joined by a shuffle.
+SENT_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows, which is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bm25(docs: DataFrame, words: list[str], k1: float = K1, b: float = B) -> DataFrame:
+    """doc_id, score: textbook BM25 over exact words, higher is better. Lengths are those of the documents' own token arrays,
+    and only the words asked for leave a document."""
+    held = docs.select("doc_id", own_words().alias("w")).select("doc_id", F.size("w").alias("len"), F.filter("w", lambda t: t.isin(*words)).alias("w"))
+    corpus = held.filter("len > 0").agg(F.count("*").alias("corpus"), F.avg("len").alias("avg"))
+    hits = held.select("doc_id", "len", F.explode("w").alias("token")).groupBy("doc_id", "len", "token").agg(F.count("*").alias("n"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    joined = hits.join(df, "token").join(lengths, "doc_id").join(F.broadcast(corpus))  # the corpus is one row
+    joined = hits.join(F.broadcast(df), "token").join(F.broadcast(corpus))  # a row for each word asked for; one row
     idf = F.log(1 + (F.col("corpus") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     return joined.groupBy("doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
@@ -53,37 +66,48 @@ def snippet(text, word: str, around: int = 40):
     return F.when(at > 0, F.trim(F.regexp_replace(cut, r"\s+", " ")))
 
 
+def _hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, words (tokens of the document), topic, term, hits."""
+    held = docs.select("doc_id", own_words().alias("w"))
+    toks = held.select("doc_id", F.size("w").alias("words"), F.explode("w").alias("token"))
+    exact = terms.filter("not term like '% %' and not term like '%*'").select("topic", "term", F.col("term").alias("token"))
+    stems = terms.filter("not term like '% %' and term like '%*'").select("topic", "term", F.expr("substring(term, 1, length(term) - 1)").alias("stem"))
+    lengths = sorted(r[0] for r in stems.select(F.length("stem")).distinct().collect())  # a few numbers
+    hit = toks.join(small(exact), "token").select("doc_id", "words", "topic", "token", F.lit(0).alias("len"), "term")
+    if lengths:
+        begun = toks.withColumn("len", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter("length(token) >= len").withColumn("stem", F.expr("substring(token, 1, len)"))
+        hit = hit.unionByName(begun.join(small(stems), "stem").select("doc_id", "words", "topic", "token", "len", "term"))
+    each = hit.groupBy("doc_id", "words", "topic", "token", "len", "term").agg(F.count("*").alias("n"))
+    best = each.groupBy("doc_id", "words", "topic", "token").agg(F.min(F.struct("len", "term", "n")).alias("x"))
+    single = best.groupBy("doc_id", "words", "topic", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("hits"))
+    phrases = terms.filter("term like '% %'").select("topic", "term", F.split("term", " ").alias("p")).withColumn("first", F.col("p")[0])
+    several = held.join(small(phrases), F.array_contains("w", F.col("first")))
+    several = several.withColumn("hits", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.element_at("w", i) == F.col("first")) & (F.slice("w", i, F.size("p")) == F.col("p")))).cast("long"))
+    return single.unionByName(several.filter("hits > 0").select("doc_id", F.size("w").alias("words"), "topic", "term", "hits"))
+
+
 def topic_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, topic, term, hits for terms(topic, term): `word`, `stem*` and phrases.
 
-    Exact words and stems join the documents' distinct tokens; a token counts for the exact term if a topic has it, else
-    for its shortest stem. Stems join by the token's own beginnings of the lengths that occur, an equi-join. Phrases
-    join by their first word, then compare the words that follow.
+    A token counts for the exact term if a topic has it, else for its shortest stem. Tokens meet the terms, a taxonomy of
+    checked size, where the document is; what is shuffled is the hits. Stems join by the token's own beginnings of the
+    lengths that occur. Phrases are looked for in documents that hold their first word.
     """
-    counts = token_counts(docs)
-    exact = terms.filter("not term like '% %' and not term like '%*'").select("topic", "term", F.col("term").alias("token"))
-    stems = terms.filter("not term like '% %' and term like '%*'").select("topic", "term", F.expr("substring(term, 1, length(term) - 1)").alias("stem"))
-    lengths = stems.select(F.sort_array(F.collect_set(F.length("stem"))).alias("lengths"))  # one row
-    hit_exact = counts.join(exact, "token").select("doc_id", "topic", "term", "token", "n", F.lit(0).alias("len"))
-    begun = counts.join(F.broadcast(lengths)).select("doc_id", "token", "n", F.explode("lengths").alias("len")).filter("length(token) >= len").withColumn("stem", F.expr("substring(token, 1, len)"))
-    hit_stem = begun.join(stems, "stem").select("doc_id", "topic", "term", "token", "n", "len")
-    first = Window.partitionBy("doc_id", "topic", "token").orderBy("len", "term")
-    single = hit_exact.unionByName(hit_stem).withColumn("r", F.row_number().over(first)).filter("r = 1").groupBy("doc_id", "topic", "term").agg(F.sum("n").alias("hits"))
-    phrases = terms.filter("term like '% %'").select("topic", "term", F.split("term", " ").alias("words")).withColumn("token", F.col("words")[0])
-    placed = docs.select("doc_id", F.array_remove(F.split(F.lower("text"), TOKEN_GAP), "").alias("w"))
-    several = placed.join(F.broadcast(phrases), F.array_contains("w", F.col("token")))  # the taxonomy's phrases: a file of a few thousand lines
-    several = several.withColumn("hits", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.slice("w", i, F.size("words")) == F.col("words"))).cast("long"))
-    return single.unionByName(several.filter("hits > 0").select("doc_id", "topic", "term", "hits"))
+    return _hits(docs, terms).select("doc_id", "topic", "term", "hits")
 
 
 def classify(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, topic, hits, distinct_terms, score, rank, terms: a topic is assigned with two different terms and
-    max(3, ceil(words / 15000)) hits; the score grows with the logarithm of hits in 10,000 words and the terms found."""
-    sizes = docs.select("doc_id", F.size(F.array_remove(F.split(F.lower("text"), TOKEN_GAP), "")).alias("words"))
-    per = topic_hits(docs, terms).groupBy("doc_id", "topic").agg(F.sum("hits").alias("hits"), F.count("*").alias("distinct_terms"), F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("m"), "term"))).alias("t"))
-    per = per.join(sizes, "doc_id").filter((F.col("distinct_terms") >= 2) & (F.col("hits") >= F.greatest(F.lit(MIN_HITS), F.ceil(F.col("words") / WORDS_A_HIT))))
-    score = F.round(F.log1p(F.col("hits") / F.col("words") * 10_000) * 10 + F.least("distinct_terms", F.lit(12)) * 1.5, 2)
-    per = per.withColumn("score", score)
+    max(3, ceil(words / 15000)) hits, or by a term in the title (docs may have a column title); the score grows with the
+    logarithm of hits in 10,000 words and the terms found, and by 25 for the title."""
+    per = _hits(docs, terms).groupBy("doc_id", "topic").agg(F.max("words").alias("words"), F.sum("hits").alias("hits"), F.count("*").alias("distinct_terms"), F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("m"), "term"))).alias("t"))
+    enough = (F.col("distinct_terms") >= 2) & (F.col("hits") >= F.greatest(F.lit(MIN_HITS), F.ceil(F.col("words") / WORDS_A_HIT)))
+    score = F.log1p(F.col("hits") / F.col("words") * 10_000) * 10 + F.least("distinct_terms", F.lit(12)) * 1.5
+    if "title" in docs.columns:
+        titles = _hits(docs.select("doc_id", F.col("title").alias("text")), terms).select("doc_id", "topic", F.lit(True).alias("titled")).distinct()
+        per = per.join(titles, ["doc_id", "topic"], "left").na.fill(False, ["titled"])
+        enough, score = enough | F.col("titled"), score + F.when(F.col("titled"), 25).otherwise(0)
+    per = per.filter(enough).withColumn("score", F.round(score, 2))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "topic")
     return per.select("doc_id", "topic", "hits", "distinct_terms", "score", F.row_number().over(order).alias("rank"), F.array_join(F.slice(F.col("t.term"), 1, TOP_TERMS), ",").alias("terms"))
 
@@ -91,10 +115,9 @@ def classify(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def language_scores(docs: DataFrame, function_words: DataFrame) -> DataFrame:
     """doc_id, guess, share: function_words(token, guess) weigh 1 / (languages that share the word); share of all tokens."""
     weight = function_words.join(function_words.groupBy("token").agg(F.count("*").alias("k")), "token").select("token", "guess", (1 / F.col("k")).alias("w"))
-    counts = token_counts(docs)
-    total = counts.groupBy("doc_id").agg(F.sum("n").alias("words"))
-    found = counts.join(F.broadcast(weight), "token").groupBy("doc_id", "guess").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
-    return found.join(total, "doc_id").select("doc_id", "guess", F.round(F.col("s") / F.col("words"), 8).alias("share"))
+    held = docs.select("doc_id", own_words().alias("own")).select("doc_id", F.size("own").alias("words"), F.explode("own").alias("token"))
+    found = held.join(small(weight), "token").groupBy("doc_id", "words", "guess").agg(F.sum("w").alias("s"))
+    return found.select("doc_id", "guess", F.round(F.col("s") / F.col("words"), 8).alias("share"))
 
 
 def identify(scores: DataFrame, least: float = 0.03, margin: float = 2.0) -> DataFrame:
@@ -104,43 +127,70 @@ def identify(scores: DataFrame, least: float = 0.03, margin: float = 2.0) -> Dat
     return ranked.filter((F.col("r") == 1) & (F.col("share") >= least) & (F.col("share") >= margin * F.col("next"))).select("doc_id", "guess", "share")
 
 
-def distinctive_terms(docs: DataFrame, k: int = 12, least: int = 3) -> DataFrame:
-    """doc_id, token, score, rank: the k words with the greatest tf * ln((N + 1) / (df + 1)); words of letters only."""
+# Words that tell nothing of a text.
+STOP = ["the", "and", "that", "with", "this", "from", "for", "are", "der", "die", "und", "den", "les", "des", "que", "los", "las", "una"]
+
+
+def distinctive_terms(docs: DataFrame, k: int = 12, least: int = 3, times: int = 3) -> DataFrame:
+    """doc_id, token, n, score, rank: the k words of three letters or more that a document uses `times` times or more with the
+    greatest n * ln((N + 1) / (df + 1)); function words and numbers are left out."""
     counts = token_counts(docs)
-    n = docs.agg(F.count("*").alias("corpus"))
-    own = counts.filter(F.length("token") >= least).filter(~F.col("token").rlike(r"[0-9_]"))
-    scored = own.join(document_frequency(counts), "token").join(F.broadcast(n)).withColumn("score", F.round(F.col("n") * F.log((F.col("corpus") + 1) / (F.col("df") + 1)), 6))
+    corpus = docs.agg(F.count("*").alias("corpus"))
+    kept = counts.filter((F.length("token") >= least) & (F.col("n") >= times) & ~F.col("token").isin(*STOP) & ~F.col("token").rlike("^[0-9]+$"))
+    df = document_frequency(counts.join(kept.select("token").distinct(), "token", "left_semi"))
+    scored = kept.join(df, "token").join(F.broadcast(corpus)).withColumn("score", F.round(F.col("n") * F.log((F.col("corpus") + 1) / (F.col("df") + 1)), 6))  # one row
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "token")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "token", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("doc_id", "token", "n", "score", "rank")
 
 
-def key_sentences(sentences: DataFrame, k: int = 3, rounds: int = 30, damping: float = 0.85, block: int = 400) -> DataFrame:
-    """unit, place, sentence, score: the k central sentences of each block of a unit by rank over shared words.
+SENTENCES = 400
 
-    A block holds `block` places (from 1) at most, so one task holds it; a unit of no more places is one block.
-    """
+
+def central_candidates(sentences: DataFrame, most: int = SENTENCES) -> DataFrame:
+    """unit, place, sentence fit for ranking: 8 to 60 words, neither references nor tables; of a unit with more than `most` every
+    n-th, evenly over the whole unit, so one task holds a unit's."""
+    from quillon.functions.rules import looks_like_references, looks_like_table
+
+    n = F.size(F.split(F.trim("sentence"), r"\s+"))
+    fit = sentences.filter(n.between(8, 60) & ~looks_like_references(F.col("sentence")) & ~looks_like_table(F.col("sentence")))
+    w = Window.partitionBy("unit")
+    numbered = fit.withColumns({"r": F.row_number().over(w.orderBy("place")) - 1, "n": F.count("*").over(w)})
+    # the j-th of `most` stands at floor(j * n / most)
+    j = F.expr(f"(r * {most} + n - 1) div n")
+    even = (F.col("n") <= most) | (F.floor(j * F.col("n") / most) == F.col("r"))
+    return numbered.filter(even).select("unit", "place", "sentence")
+
+
+def key_sentences(sentences: DataFrame, k: int = 3, rounds: int = 30, damping: float = 0.85) -> DataFrame:
+    """unit, place, sentence, score: the k sentences of each unit that share most words with other central ones (TextRank over
+    words of three letters or more; ties to the earlier)."""
 
     def rank(pdf):
+        import re
+
         import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("place")
-        words = [set(s.lower().split()) for s in pdf["sentence"]]
-        n = len(words)
-        w = np.zeros((n, n))
-        for a in range(n):
-            for b in range(a):
-                shared, base = len(words[a] & words[b]), math.log(max(len(words[a]), 2)) + math.log(max(len(words[b]), 2))
-                w[a, b] = w[b, a] = shared / base
-        out = w.sum(1)
-        score = np.ones(n)
+        bags = [sorted({w for w in re.findall(r"\w+", s.lower()) if len(w) >= 3 and w not in STOP and not w.isdigit()}) for s in pdf["sentence"]]
+        place = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
+        held = np.zeros((len(bags), max(len(place), 1)))
+        for i, b in enumerate(bags):
+            held[i, [place[w] for w in b]] = 1.0
+        size = np.array([len(b) for b in bags])
+        logs = np.log(np.maximum(size, 1))
+        base = logs[:, None] + logs[None, :]
+        fit = (size[:, None] > 1) & (size[None, :] > 1)
+        weight = np.where(fit, held @ held.T / np.where(base > 0, base, 1.0), 0.0)
+        np.fill_diagonal(weight, 0.0)
+        flow = weight / np.where(weight.sum(1) > 0, weight.sum(1), 1.0)[:, None]
+        score = np.ones(len(bags))
         for _ in range(rounds):
-            score = (1 - damping) + damping * (w.T @ (score / np.where(out > 0, out, 1)))
-        pdf = pd.DataFrame({"unit": pdf["unit"], "place": pdf["place"], "sentence": pdf["sentence"], "score": np.round(score, 6)})
-        return pdf.sort_values(["score", "place"], ascending=[False, True]).head(k)
+            score = (1 - damping) + damping * (flow.T @ score)
+        out = pd.DataFrame({"unit": pdf["unit"], "place": pdf["place"], "sentence": pdf["sentence"], "score": np.round(score, 6)})
+        return out.sort_values(["score", "place"], ascending=[False, True]).head(k)
 
-    of = F.floor((F.col("place") - 1) / block).alias("block")
-    return sentences.select("unit", "place", "sentence").groupBy("unit", of).applyInPandas(rank, "unit long, place int, sentence string, score double")
+    return central_candidates(sentences.select("unit", "place", "sentence")).groupBy("unit").applyInPandas(rank, "unit long, place int, sentence string, score double")
 
 
 __all__ = ["bm25", "classify", "distinctive_terms", "document_frequency", "identify", "key_sentences", "language_scores", "phrase", "search", "snippet", "tokens", "topic_hits"]

@@ -148,7 +148,7 @@ def cleaned_pages(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(rules.cleaned_page(made)).alias("page"))
 
 
-_simple("sentence_filters", ["Smith et al, pp. 3 (2019)", "12 34 56 a b", "A plain sentence of words.", "a   b   c   d   e", "See https://x.org and (2020)"], {"references": rules.looks_like_references, "table": rules.looks_like_table}, {"references": "t LIKE 'Smith%' OR t LIKE 'See%'", "table": "t LIKE '12%' OR t LIKE 'a   b%'"})
+_simple("sentence_filters", ["Smith et al, pp. 3 (2019)", "12 34 56 a b", "A plain sentence of words.", "Table 2: budgets", "See https://x.org and (2020)"], {"references": rules.looks_like_references, "table": rules.looks_like_table}, {"references": "t LIKE 'Smith%' OR t LIKE 'See%'", "table": "t LIKE '12%' OR t LIKE 'Table%' OR t LIKE 'Smith%'"})
 
 
 @query("language_cascade", "SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN 'de' END, CASE WHEN lang = 'en' THEN 'en' END, 'fr') AS guess FROM documents")

@@ -10,7 +10,7 @@ from quillon.operators import facets, relational, statistics, text, works
 from quillon.plans.registry import query
 from quillon.sources import files
 from quillon.sources.shared import keep
-from quillon.sources.library import LIBRARY_SQL, documents, listed, read, sources, token_counts, tokens
+from quillon.sources.library import LIBRARY_SQL, documents, listed, read, sources, tokens
 
 # Taxonomy and function words for the tables' invented prose: topic -> terms; language -> words.
 TERMS = [("articles", "the"), ("articles", "der"), ("articles", "les"), ("articles", "los"), ("articles", "of the"), ("endings", "tion*"), ("endings", "ung*"), ("endings", "ment*"), ("endings", "ing*"), ("links", "and"), ("links", "und"), ("links", "et"), ("links", "que"), ("links", "with")]
@@ -105,7 +105,7 @@ def text_index(spark, sf_dir):
 
 @query("text_search", LIBRARY_SQL + " SELECT doc_id FROM tokens GROUP BY doc_id HAVING bool_or(token = 'with') AND bool_or(starts_with(token, 'ver'))")
 def text_search(spark, sf_dir):
-    return text.search(token_counts(documents(spark, sf_dir)), ["with", "ver*"])
+    return text.search(tokens(documents(spark, sf_dir)), ["with", "ver*"])
 
 
 @query("text_phrase", LIBRARY_SQL + " SELECT a.doc_id, count(*) AS n FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the' GROUP BY a.doc_id")
@@ -118,7 +118,7 @@ def text_phrase(spark, sf_dir):
 SELECT doc_id, round(sum(ln(1 + (corpus - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (n * 2.2::DOUBLE / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / a)))), 6) AS score
 FROM (SELECT doc_id, token, n::DOUBLE AS n FROM c) JOIN d USING (token) JOIN l USING (doc_id), g WHERE token IN ('verbe', 'with', 'the') GROUP BY doc_id""")
 def text_bm25(spark, sf_dir):
-    return text.bm25(token_counts(documents(spark, sf_dir)), ["verbe", "with", "the"])
+    return text.bm25(documents(spark, sf_dir), ["verbe", "with", "the"])
 
 
 @query("text_snippet", r"SELECT doc_id, CASE WHEN place > 0 THEN trim(regexp_replace(substring(text, greatest(place - 40, 1), least(40, place - 1) + 5 + 40), '\s+', ' ', 'g'), ' ') END AS snippet FROM (SELECT doc_id, text, strpos(lower(text), 'tion ') AS place FROM documents)")
@@ -189,18 +189,29 @@ def language_guess(spark, sf_dir):
 
 
 @query("distinctive_terms", LIBRARY_SQL + r""", c AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM c GROUP BY token),
-s AS (SELECT doc_id, token, round(n * ln((SELECT count(*) + 1 FROM documents) / (df + 1)), 6) AS score FROM c JOIN d USING (token) WHERE length(token) >= 3 AND NOT regexp_matches(token, '[0-9_]'))
-SELECT doc_id, token, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token)::INTEGER AS rank FROM s) WHERE rank <= 12""")
+s AS (SELECT doc_id, token, n, round(n * ln((SELECT count(*) + 1 FROM documents) / (df + 1)), 6) AS score FROM c JOIN d USING (token) WHERE length(token) >= 3 AND n >= 3 AND token NOT IN (""" + ", ".join(f"'{w}'" for w in text.STOP) + r""") AND NOT regexp_matches(token, '^[0-9]+$'))
+SELECT doc_id, token, n, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, token)::INTEGER AS rank FROM s) WHERE rank <= 12""")
 def distinctive_terms(spark, sf_dir):
     return text.distinctive_terms(documents(spark, sf_dir))
 
 
-@query("key_sentences")
-def key_sentences(spark, sf_dir):
+def _said(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     said = turns.select("conv_id", "turn", F.posexplode(scalar.sentences(F.col("text"))).alias("p", "sentence"))
-    numbered = said.withColumn("place", F.row_number().over(relational.Window.partitionBy("conv_id").orderBy("turn", "p")))
-    return text.key_sentences(numbered.withColumnRenamed("conv_id", "unit"))
+    return said.withColumn("place", F.row_number().over(relational.Window.partitionBy("conv_id").orderBy("turn", "p"))).withColumnRenamed("conv_id", "unit")
+
+
+@query("key_sentences")
+def key_sentences(spark, sf_dir):
+    return text.key_sentences(_said(spark, sf_dir))
+
+
+@query("titled_topics", TOPIC_SQL.split(", tagged AS (")[0] + """, title AS (SELECT doc_id, 'with ' || source AS title FROM listed), th AS (SELECT DISTINCT doc_id, 'links' AS topic FROM title),
+s2 AS (SELECT p.doc_id, p.topic, hits, distinct_terms, t.doc_id IS NOT NULL AS titled, words FROM per p LEFT JOIN th t ON t.doc_id = p.doc_id AND t.topic = p.topic)
+SELECT doc_id, topic, hits, distinct_terms, round(ln(1 + hits / words * 10000) * 10 + least(distinct_terms, 12) * 1.5 + CASE WHEN titled THEN 25 ELSE 0 END, 2) AS score FROM s2 WHERE titled OR (distinct_terms >= 2 AND hits >= greatest(3, ceil(words / 15000)))""")
+def titled_topics(spark, sf_dir):
+    docs = listed(spark, sf_dir).withColumn("title", F.concat(F.lit("with "), "source"))
+    return text.classify(docs, terms(spark)).select("doc_id", "topic", "hits", "distinct_terms", "score")
 
 
 @query("page_addresses", r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\.', '') AS host,

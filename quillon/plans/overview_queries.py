@@ -8,7 +8,7 @@ from quillon.operators import editions, overview, scope
 from quillon.plans.library_queries import TOPIC_SQL, tagged
 from quillon.plans.registry import query
 from quillon.sources import records
-from quillon.sources.library import documents, listed, read, sources, token_counts
+from quillon.sources.library import documents, listed, read, sources, tokens
 from quillon.sources.records import RECORDS_SQL
 
 _RECORDS_ONLY = RECORDS_SQL[len(RECORDS_SQL.split(", actors(actor")[0]) :]
@@ -119,7 +119,7 @@ def future_years(spark, sf_dir):
 
 @query("term_trend", RECORDS_SQL + ", h AS (SELECT DISTINCT doc_id FROM tokens WHERE token = 'with' OR starts_with(token, 'ther')), p AS (SELECT year, count(*) AS total, count_if(doc_id IN (SELECT doc_id FROM h)) AS docs FROM listed GROUP BY year) SELECT y.year, coalesce(docs, 0)::BIGINT AS docs, coalesce(total, 0) AS total, CASE WHEN total > 0 THEN round(docs / total, 4) ELSE 0 END AS share FROM (SELECT unnest(range(2000, 2026)) AS year) y LEFT JOIN p USING (year)")
 def term_trend(spark, sf_dir):
-    return overview.term_trend(token_counts(documents(spark, sf_dir)), listed(spark, sf_dir).select("doc_id", "year"), ["with", "ther*"], 2000, 2025)
+    return overview.term_trend(tokens(documents(spark, sf_dir)), listed(spark, sf_dir).select("doc_id", "year"), ["with", "ther*"], 2000, 2025)
 
 
 @query("home_totals", RECORDS_SQL + " SELECT count(*) AS total, count(DISTINCT source) AS agencies, count(DISTINCT country) AS countries, count(DISTINCT lang) AS langs, count_if(year IS NULL)::BIGINT AS undated, count_if(added BETWEEN DATE '2024-01-20' - 6 AND DATE '2024-01-20')::BIGINT AS added_7, count_if(added BETWEEN DATE '2024-01-20' - 29 AND DATE '2024-01-20')::BIGINT AS added_30, count_if(added BETWEEN DATE '2024-01-20' - 89 AND DATE '2024-01-20')::BIGINT AS added_90 FROM listed")

@@ -8,7 +8,7 @@ from quillon.operators import scope, text
 from quillon.plans.library_queries import TOPIC_SQL, tagged
 from quillon.plans.registry import query
 from quillon.sources import records
-from quillon.sources.library import documents, listed, read, sources, token_counts
+from quillon.sources.library import documents, listed, read, sources, tokens
 from quillon.sources.records import RECORDS_SQL
 
 
@@ -83,7 +83,7 @@ _GROUPS = [["tion*", "ther"], ["the*", "der", "les", "los"]]
 
 @query("query_expansion", f"""{RECORDS_SQL} SELECT doc_id FROM tokens GROUP BY doc_id HAVING bool_or(starts_with(token, 'tion') OR token = 'ther' OR starts_with(token, 'attion')) AND bool_or(starts_with(token, 'the') OR token IN ('der', 'les', 'los'))""")
 def query_expansion(spark, sf_dir):
-    return scope.search_any(token_counts(documents(spark, sf_dir)), scope.expand_query(["tion", "the"], _CONCEPTS))
+    return scope.search_any(tokens(documents(spark, sf_dir)), scope.expand_query(["tion", "the"], _CONCEPTS))
 
 
 _HITS_SQL = RECORDS_SQL + """
@@ -96,8 +96,8 @@ hits AS (SELECT f.doc_id, work_id, coalesce(score, 0) AS score, CASE WHEN lower(
 
 
 def _hits(spark, sf_dir):
-    counts = token_counts(documents(spark, sf_dir))
-    return scope.ranked_hits(records.files(spark, sf_dir).select("doc_id", "title", "source", "work_id"), "tion", text.bm25(counts, ["tion", "ther"]), text.search(counts, ["tion"]))
+    docs = documents(spark, sf_dir)
+    return scope.ranked_hits(records.files(spark, sf_dir).select("doc_id", "title", "source", "work_id"), "tion", text.bm25(docs, ["tion", "ther"]), text.search(tokens(docs), ["tion"]))
 
 
 @query("search_reasons", _HITS_SQL + " SELECT doc_id, priority, score, reason FROM hits WHERE priority IS NOT NULL")

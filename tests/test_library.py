@@ -71,7 +71,7 @@ def test_search_and_topics(spark):
     counts = text.token_counts(docs)
     assert rows(text.search(counts, ["dro*"])) == [(1,), (2,)]
     assert rows(text.phrase(docs, ["of", "the"])) == [(3, 2)]
-    scores = dict(rows(text.bm25(counts, ["drone", "the"])))
+    scores = dict(rows(text.bm25(docs, ["drone", "the"])))
     assert set(scores) == {1, 3} and scores[1] > scores[3]
     terms = spark.createDataFrame([("air", "drone"), ("air", "dro*"), ("air", "swa*"), ("sea", "of the")], "topic string, term string")
     assert rows(text.topic_hits(docs, terms)) == [(1, "air", "drone", 3), (1, "air", "swa*", 1), (2, "air", "dro*", 1), (3, "sea", "of the", 2)]
