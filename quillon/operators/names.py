@@ -10,6 +10,8 @@ from quillon.operators.relational import band_pairs
 from quillon.sources.library import TOKEN_GAP
 
 WINDOW = 600
+#: Names that match() sends to every task.
+MOST_NAMES = 500_000
 
 
 def prepare(names: DataFrame, generic: list[str]) -> DataFrame:
@@ -24,10 +26,14 @@ def prepare(names: DataFrame, generic: list[str]) -> DataFrame:
 def match(docs: DataFrame, names: DataFrame) -> DataFrame:
     """doc_id, actor, name, start, end (characters): case-sensitive token sequences, the longest at each place.
 
-    The gazetteer, a file of bounded size, is sent as first token -> sequences; a document is read once, left to right.
+    The gazetteer, a file of at most MOST_NAMES names, which is checked, is sent as first token -> sequences; a document is
+    read once, left to right. matching.found joins gazetteers of any size.
     """
     table: dict[str, list[tuple[list[str], str, str]]] = {}
-    for r in names.select("actor", "name").collect():
+    rows = names.select("actor", "name").limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names to send: use matching.found")
+    for r in rows:
         words = r["name"].split()
         if words:
             table.setdefault(words[0], []).append((words, r["actor"], r["name"]))
@@ -90,30 +96,6 @@ def suggest(names: DataFrame, asked: str, k: int = 12) -> DataFrame:
     return names.withColumn("points", F.round(points + 4 * F.log10(1 + F.col("docs")), 4)).filter("points is not null").orderBy(F.desc("points"), "name").limit(k).select("name", "points")
 
 
-def resolve(entries: list[dict]) -> list[list[int]]:
-    """Groups of list entries that are one subject: entries(id, list, name, birth, number) share a number and a word of the
-    name, or all words of the name and the birth date. A group has one entry of a list at most, so joins go in a fixed
-    order (numbers first, then names; each by entry order). The lists are registers of bounded size."""
-    group = {e["id"]: i for i, e in enumerate(entries)}
-    members = {i: [e] for i, e in enumerate(entries)}
-    words = lambda e: frozenset(e["name"].lower().split())
-    keys: list[dict] = [{}, {}]
-    edges: list[list[tuple]] = [[], []]
-    for e in entries:
-        for kind, key in ((0, e.get("number")), (1, (words(e), e["birth"]) if e.get("birth") else None)):
-            if key:
-                for other in keys[kind].setdefault(key, []):
-                    if kind or words(e) & words(other):
-                        edges[kind].append((other["id"], e["id"]))
-                keys[kind][key].append(e)
-    for a, b in [*edges[0], *edges[1]]:
-        x, y = group[a], group[b]
-        if x != y and not {e["list"] for e in members[x]} & {e["list"] for e in members[y]}:
-            members[x] += members.pop(y)
-            group.update({e["id"]: x for e in members[x]})
-    return [[e["id"] for e in m] for m in members.values()]
-
-
 def match_unique(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:
     """left_id, right_id by equal names (case, marks and spacing aside) that one row of each side has."""
     k = F.array_join(F.array_remove(F.split(F.lower(name), TOKEN_GAP), ""), " ")

@@ -82,7 +82,7 @@ def _hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     single = best.groupBy("doc_id", "words", "topic", F.col("x.term").alias("term")).agg(F.sum("x.n").alias("hits"))
     phrases = terms.filter("term like '% %'").select("topic", "term", F.split("term", " ").alias("p")).withColumn("first", F.col("p")[0])
     several = held.join(small(phrases), F.array_contains("w", F.col("first")))
-    several = several.withColumn("hits", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.element_at("w", i) == F.col("first")) & (F.slice("w", i, F.size("p")) == F.col("p")))).cast("long"))
+    several = several.withColumn("hits", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.get("w", i - 1) == F.col("first")) & (F.slice("w", i, F.size("p")) == F.col("p")))).cast("long"))
     return single.unionByName(several.filter("hits > 0").select("doc_id", F.size("w").alias("words"), "topic", "term", "hits"))
 
 

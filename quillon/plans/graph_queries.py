@@ -213,9 +213,14 @@ def name_pairs(spark, sf_dir):
     return names.pairs(names.match(read(spark, sf_dir, "documents"), _gazetteer(spark)))
 
 
-@query("name_suggestions", "SELECT n_name AS name, round(points + 4 * log10(1 + docs), 4) AS points FROM (SELECT n_name, n_nationkey AS docs, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN starts_with(lower(n_name), 'nation_1') THEN 90 END::DOUBLE AS points FROM nation) WHERE points IS NOT NULL ORDER BY points DESC, name LIMIT 12")
+_GRAMS = "list_distinct(list_transform(range(1, length({x}) + 2), lambda i: substr('  ' || lower({x}) || ' ', i, 3)))"
+
+
+@query("name_suggestions", f"""WITH g AS (SELECT n_name, n_nationkey AS docs, {_GRAMS.format(x='n_name')} AS x, {_GRAMS.format(x="'nation_1'")} AS y FROM nation), d AS (SELECT *, round(2 * len(list_intersect(x, y)) / (len(x) + len(y)), 6) AS dice FROM g),
+p AS (SELECT *, CASE WHEN lower(n_name) = 'nation_1' THEN 100 WHEN starts_with(lower(n_name), 'nation_1') THEN 90 WHEN dice >= 0.6 THEN 40 + 40 * dice END::DOUBLE AS points FROM d)
+SELECT n_name AS name, round(points + 4 * log10(1 + docs), 4) AS points FROM p WHERE points IS NOT NULL ORDER BY points DESC, name LIMIT 12""")
 def name_suggestions(spark, sf_dir):
-    return names.suggest(read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("docs")).filter(F.lower("name").startswith("nation_1")), "nation_1")
+    return names.suggest(read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("docs")), "nation_1")
 
 
 @query("name_unique_match", "SELECT s_suppkey AS left_id, c_custkey AS right_id FROM supplier JOIN customer ON lower(replace(s_name, 'Supplier', 'x')) = lower(replace(c_name, 'Customer', 'x'))")

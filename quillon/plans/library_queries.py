@@ -161,11 +161,11 @@ def briefing(spark, sf_dir):
     return statistics.briefing(listed(spark, sf_dir), tagged(spark, sf_dir), F.col("country") == "C2")
 
 
-@query("update_jumps", TOPIC_SQL + """, s AS (SELECT doc_id, added = DATE '2024-01-20' AS fresh FROM listed WHERE added <= DATE '2024-01-20'), t AS (SELECT count_if(fresh) AS tn, count_if(NOT fresh) AS tb FROM s),
+@query("update_jumps", TOPIC_SQL + """, s AS (SELECT doc_id, added = DATE '2024-01-03' AS fresh FROM listed WHERE added <= DATE '2024-01-03'), t AS (SELECT count_if(fresh) AS tn, count_if(NOT fresh) AS tb FROM s),
 p AS (SELECT topic, count_if(fresh)::BIGINT AS new, count_if(NOT fresh)::BIGINT AS before FROM s JOIN tagged USING (doc_id) GROUP BY topic)
 SELECT topic, new, before, round(100 * (new / tn - before / tb), 1) AS jump FROM p, t WHERE new >= 3 AND new / tn > before / tb""")
 def update_jumps(spark, sf_dir):
-    return statistics.update_jumps(listed(spark, sf_dir), tagged(spark, sf_dir), "2024-01-20")
+    return statistics.update_jumps(listed(spark, sf_dir), tagged(spark, sf_dir), "2024-01-03")
 
 
 @query("watchlist", LIBRARY_SQL + " SELECT 'english' AS query, CAST(added AS VARCHAR) AS added, count(*) AS n FROM listed WHERE lang = 'en' GROUP BY listed.added UNION ALL SELECT 'recent', CAST(added AS VARCHAR), count(*) FROM listed WHERE year >= 2015 GROUP BY listed.added")

@@ -53,9 +53,14 @@ def dating_conflicts(spark, sf_dir):
     return dating.conflicts(docs, docs.filter("doc_id % 10 = 0"))
 
 
-@query("language_retag", LIBRARY_SQL + f", {_FW}, b AS (SELECT doc_id, arg_max(guess, {{'s': share, 'g': guess}}) AS best, max(share) AS top FROM ls GROUP BY doc_id) SELECT d.doc_id, best AS lang FROM documents d JOIN b USING (doc_id) LEFT JOIN ls o ON o.doc_id = d.doc_id AND o.guess = d.lang WHERE best <> lang AND top >= 0.05 AND coalesce(o.share, 0) <= 0.15 * top")
+# every fifth document is stored under a wrong language
+_WRONG_SQL = "(SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE CASE lang WHEN 'en' THEN 'de' WHEN 'de' THEN 'fr' WHEN 'fr' THEN 'es' ELSE 'en' END END AS lang FROM documents)"
+
+
+@query("language_retag", LIBRARY_SQL + f", {_FW}, b AS (SELECT doc_id, arg_max(guess, {{'s': share, 'g': guess}}) AS best, max(share) AS top FROM ls GROUP BY doc_id) SELECT d.doc_id, best AS lang FROM {_WRONG_SQL} d JOIN b USING (doc_id) LEFT JOIN ls o ON o.doc_id = d.doc_id AND o.guess = d.lang WHERE best <> lang AND top >= 0.05 AND coalesce(o.share, 0) <= 0.15 * top")
 def language_retag(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    other = F.when(F.col("lang") == "en", "de").when(F.col("lang") == "de", "fr").when(F.col("lang") == "fr", "es").otherwise("en")
+    docs = documents(spark, sf_dir).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, other).otherwise(F.col("lang")))
     return dating.retag(docs, text.language_scores(docs, spark.createDataFrame(FUNCTION_WORDS, "token string, guess string")))
 
 
@@ -100,9 +105,9 @@ def panel_changes(spark, sf_dir):
     return records.change_points(_panel(spark, sf_dir))
 
 
-@query("level_steps", f"WITH {_PANEL_SQL} SELECT measure AS system, year::INTEGER AS since, lead(year) OVER (PARTITION BY measure ORDER BY year)::INTEGER AS until, value AS level FROM p WHERE unit = 1")
+@query("level_steps", f"WITH {_PANEL_SQL} SELECT measure || '/' || CAST(unit AS VARCHAR) AS system, year::INTEGER AS since, lead(year) OVER (PARTITION BY measure, unit ORDER BY year)::INTEGER AS until, value AS level FROM p")
 def level_steps(spark, sf_dir):
-    announced = _panel(spark, sf_dir).filter("unit = 1").select(F.col("measure").alias("system"), F.col("year").alias("at"), F.col("value").alias("level"))
+    announced = _panel(spark, sf_dir).select(F.concat("measure", F.lit("/"), F.col("unit").cast("string")).alias("system"), F.col("year").alias("at"), F.col("value").alias("level"))
     return records.steps(announced)
 
 
@@ -114,10 +119,10 @@ def citation_matrix(spark, sf_dir):
     return records.citation_matrix(links)
 
 
-@query("alias_votes", "WITH w AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS alias FROM lineitem), a AS (SELECT DISTINCT l_partkey AS alias, l_suppkey AS actor FROM lineitem WHERE l_quantity > 45), v AS (SELECT id, actor, count(DISTINCT alias) AS v FROM w JOIN a USING (alias) GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(v) OVER w AS nx FROM v WINDOW w AS (PARTITION BY id ORDER BY v DESC, actor)) SELECT id, actor FROM r WHERE r = 1 AND (nx IS NULL OR (v >= 2 AND v >= 2 * nx))")
+@query("alias_votes", "WITH w AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS alias FROM lineitem), a AS (SELECT l_partkey AS alias, min(l_suppkey) AS actor FROM lineitem GROUP BY l_partkey), v AS (SELECT id, actor, count(DISTINCT alias) AS v FROM w JOIN a USING (alias) GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, lead(v) OVER w AS nx FROM v WINDOW w AS (PARTITION BY id ORDER BY v DESC, actor)) SELECT id, actor FROM r WHERE r = 1 AND (nx IS NULL OR (v >= 2 AND v >= 2 * nx))")
 def alias_votes(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")
-    return records.alias_vote(l.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("alias")).distinct(), l.filter("l_quantity > 45").select(F.col("l_partkey").alias("alias"), F.col("l_suppkey").alias("actor")).distinct())
+    return records.alias_vote(l.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("alias")).distinct(), l.groupBy(F.col("l_partkey").alias("alias")).agg(F.min("l_suppkey").alias("actor")))
 
 
 @query("publisher_levels", "SELECT o_custkey AS subject, CASE min(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 WHEN 'O' THEN 2 END) WHEN 0 THEN 'F' WHEN 1 THEN 'P' ELSE 'O' END AS level FROM orders WHERE o_orderstatus IN ('F', 'P', 'O') GROUP BY 1")

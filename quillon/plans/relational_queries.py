@@ -47,9 +47,9 @@ def join_semi(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").join(big, "s_suppkey", "left_semi")
 
 
-@query("join_anti", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("join_anti", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 35)")
 def join_anti(spark, sf_dir):
-    back = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    back = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 35").select(F.col("l_partkey").alias("p_partkey"))
     return read(spark, sf_dir, "part").select("p_partkey").join(back, "p_partkey", "left_anti")
 
 
@@ -96,10 +96,10 @@ def join_full_outer(spark, sf_dir):
     return relational.compare(per("A"), per("R"), ["k"], "n")
 
 
-@query("join_unique_names", "WITH u AS (SELECT n_nationkey, c_mktsegment, min(c_custkey) AS c, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT n_nationkey, c_mktsegment, c FROM u WHERE k = 1")
+@query("join_unique_names", "WITH u AS (SELECT n_nationkey, c_mktsegment, floor(c_acctbal / 1000)::BIGINT AS balance, min(c_custkey) AS c, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT n_nationkey, c_mktsegment, balance, c FROM u WHERE k = 1")
 def join_unique_names(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
-    return c.groupBy("n_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("c"), F.count("*").alias("k")).filter("k = 1").drop("k")
+    return c.groupBy("n_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).alias("balance")).agg(F.min("c_custkey").alias("c"), F.count("*").alias("k")).filter("k = 1").drop("k")
 
 
 @query("aggregate_measures", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")

@@ -29,14 +29,40 @@ def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
 
 
 def append_new(df: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Appends rows with new keys to a Parquet table, each micro-batch without repeats of its own."""
-
-    def put(batch: DataFrame, _: int) -> None:
-        batch.dropDuplicates([key]).write.mode("append").parquet(target)
+    """Appends rows with new keys to a Parquet table below `target`, a folder for each micro-batch.
+
+    A key that an earlier batch brought is left out. A batch that runs again after a failure writes its own folder anew and
+    is compared with the earlier ones only, so it neither repeats rows nor loses them.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates([key])
+        if number:
+            # earlier batches only: this one's folder may hold a first attempt
+            earlier = [f"{target}/batch={i}" for i in range(number)]
+            have = [p for p in earlier if _exists(spark, p)]
+            if have:
+                fresh = fresh.join(spark.read.schema(batch.schema).parquet(*have).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def committed(df: DataFrame, target: str, rows: int = 25) -> list[str]:
+    """Writes df in parts of about `rows` rows each, so that what is done survives a stop; returns the parts' folders. Parts are
+    dealt by a hash of the row, so a rerun writes the same ones."""
+    parts = max(1, -(-df.count() // rows))
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    dealt.write.mode("overwrite").partitionBy("part").parquet(target)
+    return sorted(f"{target}/part={i}" for i in range(parts) if _exists(df.sparkSession, f"{target}/part={i}"))
+
+
 def stale(docs: DataFrame, index: DataFrame, rules_hash: str) -> DataFrame:
     """Documents without an index row of the present text and rules: what an incremental run has to do."""
     now = docs.withColumn("h", F.sha2(F.concat_ws("|", F.lit(rules_hash), "text"), 256))

@@ -123,16 +123,6 @@ def test_names(spark):
     assert [r["name"] for r in names.suggest(known, "wolf").collect()] == ["Wolf Pack", "Grey Wolf"]
 
 
-def test_identity_has_one_entry_of_a_list():
-    entries = [
-        {"id": 1, "list": "us", "name": "Ivan Petrov", "birth": "1970-01-01", "number": "P1"},
-        {"id": 2, "list": "uk", "name": "Petrov Ivan", "birth": "1970-01-01", "number": None},
-        {"id": 3, "list": "us", "name": "Ivan Petrov", "birth": "1970-01-01", "number": None},
-        {"id": 4, "list": "eu", "name": "I Petrov", "birth": None, "number": "P1"},
-    ]
-    assert sorted(sorted(g) for g in names.resolve(entries)) == [[1, 2, 4], [3]]
-
-
 def test_works_and_series(spark):
     held = spark.createDataFrame([(1, "k", "en", 100), (2, "k", "de", 120), (3, None, "de", 5), (4, None, "de", 5)], "id long, key string, lang string, chars int")
     found = works.group_works(held, [["key"]], checkpoint=lambda df: df.sparkSession.createDataFrame(df.collect(), df.schema))
@@ -177,6 +167,9 @@ def test_streaming_takes_up_new_files_only(spark, tmp_path):
     spark.createDataFrame([row(9)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     put()
     assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 9]
+    spark.createDataFrame([row(3), row(9), row(11), row(11)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    put()
+    assert sorted(r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 9, 11]
     daily = updates.daily(updates.stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema))
     updates.run_once(daily, "daily", "complete", f"{tmp_path}/daily")
     assert sum(r["n"] for r in spark.table("daily").collect()) == 5
