@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import materialize, table
+from quillon.llm.storage import materialize, table, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -71,17 +71,18 @@ def mixing_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; its columns and their order stay.
+    """docs with each row repeated as often as the mix takes it; its columns, whatever their names, and their order stay.
 
     The defined results are those of mixing_plan. Rows that the mix takes 0 times go.
     """
-    sized = docs.select("*", n_words(F.col("text")).alias("__mix_size"))
+    size, of, total, target, number, copy = (unused(docs, f"__mix_{c}") for c in ("size", "source", "total", "target", "n", "copy"))
+    sized = docs.withColumn(size, n_words(F.col("text")))
     targets = source_targets(docs.select("source", n_words(F.col("text")).alias("size")))
-    targets = targets.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_total"), F.col("target").alias("__mix_target"))
-    joined = sized.join(targets, sized["source"].eqNullSafe(F.col("__mix_source")))
-    n = copies(F.col("__mix_size"), F.col("__mix_total"), F.col("__mix_target"), sized["doc_id"], seed)
-    repeated = joined.withColumn("__mix_n", n).filter("__mix_n > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int"))))
-    return repeated.select(*[sized[f"`{c}`"] for c in docs.columns])
+    targets = targets.select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(target))
+    joined = sized.join(targets, sized["source"].eqNullSafe(F.col(of)))
+    n = copies(F.col(size), F.col(total), F.col(target), sized["doc_id"], seed)
+    repeated = joined.withColumn(number, n).filter(F.col(number) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number).cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.storage import materialize, table
+from quillon.llm.storage import materialize, table, unused
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -130,7 +130,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     ignored. labels needs doc_id and quality; of several labels of a document the lowest counts, others than 0 and 1 do
     not. An empty text has 0 words and fails. Rows with the same doc_id are judged alike by their own text.
     """
-    plain = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("(none)")).alias("__stratum"), "text")
+    plain = docs.select("doc_id", F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("="), "lang")).alias("__stratum"), "text")
     counted = text_counts(plain).withColumn("__bins", signal_bins())
     counted = materialize(counted.select("doc_id", "__stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__bins"), "rule-counts")
     cutoffs = learn_cutoffs(counted, labels, alpha, delta)
@@ -148,9 +148,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     The verdict of a document is taken by doc_id. Of rows that share one, each goes by the verdict that all of them
     get: the document stays if any of its rows is kept. A row without doc_id goes by the verdict of the rows without.
     """
-    verdicts = judge(docs, labels, alpha, delta).groupBy(F.col("doc_id").alias("__verdict_id")).agg(F.max("kept").alias("__kept"))
-    kept = verdicts.filter("__kept").select("__verdict_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__verdict_id")), "left_semi")
+    of = unused(docs, "__verdict_id")
+    verdicts = judge(docs, labels, alpha, delta).groupBy(F.col("doc_id").alias(of)).agg(F.max("kept").alias("__kept"))
+    kept = verdicts.filter("__kept").select(of)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(of)), "left_semi")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

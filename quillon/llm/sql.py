@@ -52,7 +52,7 @@ _RATE = ALPHA / len(SIGNALS)
 
 QUALITY_RULES = rf"""
 WITH t AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '(none)') AS st, coalesce(text, '') AS x FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IS NULL THEN 'null' ELSE '=' || lang END AS st, coalesce(text, '') AS x FROM documents
 ), w AS (
   SELECT *, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda a: a <> '') AS ws,
          list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls,
