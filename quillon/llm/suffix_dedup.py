@@ -254,7 +254,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
-    """A row for each document: doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans, kept_sha256.
+    """A row for each document: doc_id, kept (the remaining bytes), text (kept as a string, torn characters as
+    U+FFFD), n_bytes, n_removed, n_spans, kept_sha256.
 
     Spans that overlap or touch are one.
 
@@ -272,7 +273,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
         import pyarrow as pa
 
         for batch in batches:
-            out = {"kept": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            out = {"kept": [], "text": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for text, starts, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = (text or "").encode()
                 parts, at, runs, end = [], 0, 0, -1
@@ -282,15 +283,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                     at = end = max(at, b)
                 parts.append(data[at:])
                 kept = b"".join(parts)
-                for name, x in zip(out, (kept, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
+                for name, x in zip(out, (kept, kept.decode(errors="replace"), len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
                     out[name].append(x)
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            types = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], names=["doc_id", *out])
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {id_type}, kept binary, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns and, behind them, text: the remaining bytes as a string (torn characters as U+FFFD)."""
-    found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.decode("kept", F.lit("UTF-8")).alias("text"))
+    """The digest columns and, behind them, the remaining text."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
