@@ -185,11 +185,14 @@ def top_k(vectors: DataFrame, is_query=None, k: int = 20, scale: int = 64, block
         reach = F.when(F.col("norm") > 0, (F.col("__floor") - 1e-6) / F.col("norm") * (1 - 1e-9)).otherwise(F.lit(float("-inf")))
         bounded = materialize(bounded, "bounded-queries")
         need = bounded.groupBy("__pack").agg(F.min(F.when(F.col("__floor") <= 0, F.lit(float("-inf"))).otherwise(reach)).alias("__reach"))
-        pairs = []
-        for r in need.collect():
-            last = int(np.searchsorted(-longest, -r["__reach"], side="right"))
-            pairs += [(r["__pack"], heads[i]["__block"]) for i in range(1, last)]
-        met = meeting_list(valid.sparkSession, pairs)
+
+        def depth(batches):
+            for pdf in batches:
+                yield pdf.assign(__last=np.searchsorted(-longest, -pdf["__reach"].to_numpy(), side="right").astype("int64"))[["__pack", "__last"]]
+
+        deep = need.mapInPandas(depth, "__pack int, __last long").filter("__last > 1").select("__pack", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__last") - 1)).alias("__place"))
+        places = valid.sparkSession.createDataFrame([(i, r["__block"]) for i, r in enumerate(heads)], "__place long, __block int")
+        met = materialize(deep.join(places, "__place").select(F.col("__pack").alias("__p"), "__block"), "meetings")
         q1 = bounded.join(met.withColumnRenamed("__p", "__pack"), "__pack")
         x1 = ranged.join(met.withColumnRenamed("__p", "__pack"), "__block")
         found = first.unionByName(meet(q1, x1))
@@ -197,10 +200,5 @@ def top_k(vectors: DataFrame, is_query=None, k: int = 20, scale: int = 64, block
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def meeting_list(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
-    """The list of packs and the blocks that each meets."""
-    return spark.createDataFrame(pairs, "__p int, __block int")
-
-
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
