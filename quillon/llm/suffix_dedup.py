@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import filter_bits, in_filter
 from quillon.llm.rolling import Powers, sliding_min
-from quillon.llm.storage import materialize, table
+from quillon.llm.storage import discard, materialize, table
 
 LENGTH = 400
 #: Suffixes are sorted where they start at the least of all LEAD-byte hashes of some LENGTH-byte window: two equal
@@ -18,6 +18,9 @@ LEAD = 100
 BUCKET_ROWS = 20_000
 #: Surroundings that a task remembers so as to send equal ones twice at most.
 SEEN = 500_000
+#: Leads that occur more often are not sorted in one task: their windows are counted by hashes, STEP offsets at a time first.
+HOT_LEAD = 2_000
+STEP = 10
 _BATCH = 1 << 19  # bytes hashed at once; places take 20 bits
 
 
@@ -163,13 +166,66 @@ def repeated_reach(lefts: list[bytes], rights: list[bytes], copies, length: int
     return farthest, np.where(nearest >= 0, length - nearest, -1)
 
 
+def _counted_reach(every: DataFrame, length: int, lead: int) -> DataFrame:
+    """key, back, ahead as of repeated_reach, for surroundings(key, left, right, n) of leads that are too common to be sorted in
+    one task.
+
+    A window that begins o bytes left is repeated if its hash (128 bits) occurs twice. The windows of STEP offsets in a row
+    share all but STEP - 1 of their bytes: only where that core occurs twice are they hashed one by one. Hashes are counted
+    with partial sums, so no task meets a lead's surroundings, however many there are.
+    """
+    most = length - lead
+    rows = every.groupBy("key").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.sum("n").alias("n"))
+    rows = materialize(rows, "hot-surroundings")
+
+    def cores(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            key, n, k, h = [], [], [], []
+            for own, left, right, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for low in range(0, most + 1, STEP):
+                    top = min(low + STEP - 1, most)
+                    if max(low, length - len(right)) <= min(top, len(left)):
+                        key.append(own)
+                        n.append(times)
+                        k.append(low)
+                        h.append(xxhash.xxh3_64_intdigest(left[len(left) - low :] + right[: length - top], seed=low) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(h, pa.int64())], names=["key", "n", "k", "h"])
+
+    def windows(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            key, n, o, w = [], [], [], []
+            for own, left, right, times, low in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for offset in range(max(low, length - len(right)), min(low + STEP - 1, most, len(left)) + 1):
+                    key.append(own)
+                    n.append(times)
+                    o.append(offset)
+                    w.append(xxhash.xxh3_128_digest(left[len(left) - offset :] + right[: length - offset], seed=offset))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(w, pa.binary())], names=["key", "n", "o", "w"])
+
+    core = rows.select("key", "left", "right", "n").mapInArrow(cores, "key binary, n long, k int, h long")
+    core = materialize(core, "hot-cores")
+    twice = core.groupBy("k", "h").agg(F.sum("n").alias("t")).filter("t > 1").select("k", "h")
+    asked = core.join(twice, ["k", "h"], "left_semi").select("key", "k")
+    one = materialize(rows.join(asked, "key").select("key", "left", "right", "n", "k").mapInArrow(windows, "key binary, n long, o long, w binary"), "hot-windows")
+    discard(core, rows)
+    repeated = one.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1").select("w")
+    return one.join(repeated, "w", "left_semi").groupBy("key").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("ahead"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """__doc, __text_hash, __spans: the sorted byte ranges covered by repeated strings, for documents that have any.
 
     Three passes: leads that occur twice are counted; the surroundings of such anchors (length bytes to the right and
     length - lead to the left) are cut out, equal ones of a task twice at most, and dealt by sampled range splitters
     over their leading bytes; each bucket merges equal ones, sorts and compares. Equal leads are never parted, and suffixes across a border
-    differ within the leading bytes, so borders hide no match.
+    differ within the leading bytes, so borders hide no match. Leads that occur more than HOT_LEAD times go by
+    _counted_reach instead.
     """
     spark = docs.sparkSession
     plain = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text_hash"), "text")
@@ -182,10 +238,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
     counted = plain.mapInArrow(leads, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    counted = materialize(counted, "leads")
     sent = spark.sparkContext.broadcast(filter_bits(counted, "h"))
+    hot_sent = spark.sparkContext.broadcast(filter_bits(counted.filter(F.col("n") > HOT_LEAD), "h"))
+    discard(counted)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def surroundings(batches):
+        import numpy as np
         import pyarrow as pa
         import xxhash
 
@@ -198,8 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                 if not len(hit):
                     continue
                 # in a text of one letter every place is an anchor; equal ones in a row are sent as a range
-                sent_rows, first, last, key, left, right = [], [], [], [], [], []
-                for r, p in zip(rows[hit].tolist(), places[hit].tolist(), strict=True):
+                sent_rows, first, last, key, left, right, hot = [], [], [], [], [], [], []
+                often = np.zeros(len(h), dtype=bool)
+                often[in_filter(hot_sent.value, h)] = True
+                for r, p, many in zip(rows[hit].tolist(), places[hit].tolist(), often[hit].tolist(), strict=True):
                     before, after = texts[r][max(0, p - length + lead) : p], texts[r][p : p + length]
                     k = xxhash.xxh3_128_digest(before + b"|%d|" % len(before) + after)
                     times = seen[k] = seen.get(k, 0) + 1
@@ -212,14 +274,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
                     key.append(k)
                     left.append(before if times <= 2 else None)  # twice tells all
                     right.append(after if times <= 2 else None)
+                    hot.append(many)
                 take = pa.array(sent_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(key, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-                    names=["__doc", "__text_hash", "place", "upto", "key", "left", "right"],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(key, pa.binary()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(hot, pa.bool_())],
+                    names=["__doc", "__text_hash", "place", "upto", "key", "left", "right", "hot"],
                 )
 
-    cut = materialize(plain.mapInArrow(surroundings, f"__doc {id_type}, __text_hash long, place long, upto long, key binary, left binary, right binary"), "surroundings")
-    different = cut.filter("right is not null").select("key", "left", "right", (F.col("upto") - F.col("place") + 1).alias("n"))
+    cut = materialize(plain.mapInArrow(surroundings, f"__doc {id_type}, __text_hash long, place long, upto long, key binary, left binary, right binary, hot boolean"), "surroundings")
+    every = cut.filter("right is not null").select("key", "left", "right", (F.col("upto") - F.col("place") + 1).alias("n"), "hot")
+    different = every.filter("not hot").drop("hot")
     buckets = max(1, -(-different.count() // BUCKET_ROWS))
     leading = F.substring("right", 1, lead)
     dealt = different.repartitionByRange(buckets, leading).sortWithinPartitions(leading, "key")
@@ -248,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> D
         if held:
             yield result(held)
 
-    reach = dealt.mapInArrow(compare, "key binary, back long, ahead long")
+    reach = dealt.mapInArrow(compare, "key binary, back long, ahead long").unionByName(_counted_reach(every.filter("hot"), length, lead))
     spans = cut.select("__doc", "__text_hash", "place", "upto", "key").join(reach, "key").select("__doc", "__text_hash", F.struct((F.col("place") - F.col("back")).alias("a"), (F.col("upto") + F.col("ahead")).alias("b")).alias("s"))
     return spans.groupBy("__doc", "__text_hash").agg(F.sort_array(F.collect_set("s")).alias("__spans"))
 

@@ -458,8 +458,10 @@ def test_repeats_are_removed(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_short_repeats_of_few_letters(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(i, 2_000) for i in range(4)] + [(i, 0) for i in range(4)] + [(5, 3)])
+def test_short_repeats_of_few_letters(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
+    monkeypatch.setattr(suffix_dedup, "STEP", 3)
     rng = np.random.default_rng(seed)
     texts = ["".join(rng.choice(list("ab"), rng.integers(0, 60))) for _ in range(12)]
     got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, texts), length=12, lead=5).collect()}
