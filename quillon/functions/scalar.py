@@ -118,6 +118,19 @@ def script_share(text: Column, pattern: str) -> Column:
     return F.when(letters > 0, F.round(F.length(F.regexp_replace(text, rf"[^{pattern}]+", "")) / letters, 6)).otherwise(F.lit(0.0))
 
 
+# Scripts by their code points, in the order in which they are asked.
+SCRIPTS = [("arabic", r"\u0600-\u06FF"), ("cyrillic", r"\u0400-\u04FF"), ("greek", r"\u0370-\u03FF"), ("hebrew", r"\u0590-\u05FF"), ("kana", r"\u3040-\u30FF"), ("hangul", r"\uAC00-\uD7AF"), ("han", r"\u3400-\u9FFF"), ("latin", r"A-Za-z\u00C0-\u024F")]
+
+
+def script_of(text: Column, least: float = 0.3) -> Column:
+    """The first script that `least` of a text's letters are written in; null without letters."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    out = F.lit(None).cast("string")
+    for name, span in reversed(SCRIPTS):
+        out = F.when(F.length(F.regexp_replace(text, f"[^{span}]+", "")) >= least * letters, name).otherwise(out)
+    return F.when(letters > 0, out)
+
+
 def trigrams(text: Column) -> Column:
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))

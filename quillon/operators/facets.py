@@ -96,5 +96,6 @@ def _quoted(value: str) -> str:
 
 
 def page(docs: DataFrame, order, number: int, size: int = 50) -> DataFrame:
-    """The rows of a page, from 1, in a total order."""
-    return docs.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    """The rows of a page, from 1, in a total order; a page beyond the last one is the last one."""
+    last = max(1, -(-docs.count() // size)) if number > 1 else 1
+    return docs.orderBy(*order).offset((min(max(number, 1), last) - 1) * size).limit(size)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.sources.library import TOKEN_GAP, token_counts, tokens
 
 K1, B = 1.2, 0.75
+#: Scripts that write words without blanks, or with endings and prefixes that stems can't follow.
+UNSPACED = r"[\u0600-\u06FF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]"
 MIN_HITS, WORDS_A_HIT, MAIN_TOPICS, TOP_TERMS = 3, 15_000, 3, 6
 
 
@@ -83,7 +85,33 @@ def _hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
     phrases = terms.filter("term like '% %'").select("topic", "term", F.split("term", " ").alias("p")).withColumn("first", F.col("p")[0])
     several = held.join(small(phrases), F.array_contains("w", F.col("first")))
     several = several.withColumn("hits", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.get("w", i - 1) == F.col("first")) & (F.slice("w", i, F.size("p")) == F.col("p")))).cast("long"))
-    return single.unionByName(several.filter("hits > 0").select("doc_id", F.size("w").alias("words"), "topic", "term", "hits"))
+    found = single.unionByName(several.filter("hits > 0").select("doc_id", F.size("w").alias("words"), "topic", "term", "hits"))
+    # scripts without blanks between words: terms are looked for as they are, anywhere
+    joined = terms.filter(F.col("term").rlike(UNSPACED)).select("topic", "term")
+    if joined.isEmpty():
+        return found
+    n = F.expr("cast((length(text) - length(replace(text, term, ''))) / length(term) as bigint)")
+    inside = docs.select("doc_id", F.lower("text").alias("text"), F.size(own_words()).alias("words")).join(small(joined), F.col("text").contains(F.col("term"))).withColumn("hits", n)
+    plain = found.join(joined.withColumn("unspaced", F.lit(True)), ["topic", "term"], "left_anti")
+    return plain.select(*found.columns).unionByName(inside.select("doc_id", "words", "topic", "term", "hits"))
+
+
+SNIPPET = 260
+
+
+def passage(text: Column, start: Column, end: Column, around: int = SNIPPET) -> Column:
+    """before, match, after of a place (start from 0, end exclusive): `around` characters to both sides, cut at word borders, marked
+    where the text goes on."""
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    left, right = F.greatest(start - around, F.lit(0)), F.least(end + around, F.length(text))
+    before = F.substring(text, left + 1, start - left)
+    before = F.when(left > 0, F.regexp_replace(before, r"^\S*\s", "")).otherwise(before)
+    after = F.substring(text, end + 1, right - end)
+    after = F.when(right < F.length(text), F.regexp_replace(after, r"\s\S*$", "")).otherwise(after)
+    mark = F.lit("…")
+    return F.struct(
+        F.concat(F.when(left > 0, mark).otherwise(""), tidy(before)).alias("before"), tidy(F.substring(text, start + 1, end - start)).alias("match"), F.concat(tidy(after), F.when(right < F.length(text), mark).otherwise("")).alias("after")
+    )
 
 
 def topic_hits(docs: DataFrame, terms: DataFrame) -> DataFrame:
