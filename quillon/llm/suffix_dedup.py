@@ -18,8 +18,9 @@ LEAD = 100
 BUCKET_ROWS = 20_000
 #: Surroundings that a task remembers so as to send equal ones twice at most.
 SEEN = 500_000
-#: Leads that occur more often are not sorted in one task: their windows are counted by hashes, STEP offsets at a time first.
-HOT_LEAD = 2_000
+#: Leads that occur more often are not sorted in one task, which would hold some 3 KB for each occurrence: their windows are
+#: counted by hashes, STEP offsets at a time first.
+HOT_LEAD = 200_000
 STEP = 10
 _BATCH = 1 << 19  # bytes hashed at once; places take 20 bits
 
@@ -200,19 +201,20 @@ def _counted_reach(every: DataFrame, length: int, lead: int) -> DataFrame:
 
         for batch in batches:
             key, n, o, w = [], [], [], []
-            for own, left, right, times, low in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for offset in range(max(low, length - len(right)), min(low + STEP - 1, most, len(left)) + 1):
-                    key.append(own)
-                    n.append(times)
-                    o.append(offset)
-                    w.append(xxhash.xxh3_128_digest(left[len(left) - offset :] + right[: length - offset], seed=offset))
+            for own, left, right, times, lows in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for low in lows:
+                    for offset in range(max(low, length - len(right)), min(low + STEP - 1, most, len(left)) + 1):
+                        key.append(own)
+                        n.append(times)
+                        o.append(offset)
+                        w.append(xxhash.xxh3_128_digest(left[len(left) - offset :] + right[: length - offset], seed=offset))
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(o, pa.int64()), pa.array(w, pa.binary())], names=["key", "n", "o", "w"])
 
     core = rows.select("key", "left", "right", "n").mapInArrow(cores, "key binary, n long, k int, h long")
     core = materialize(core, "hot-cores")
     twice = core.groupBy("k", "h").agg(F.sum("n").alias("t")).filter("t > 1").select("k", "h")
-    asked = core.join(twice, ["k", "h"], "left_semi").select("key", "k")
-    one = materialize(rows.join(asked, "key").select("key", "left", "right", "n", "k").mapInArrow(windows, "key binary, n long, o long, w binary"), "hot-windows")
+    asked = core.join(twice, ["k", "h"], "left_semi").groupBy("key").agg(F.collect_list("k").alias("ks"))  # most / STEP at most
+    one = materialize(rows.join(asked, "key").select("key", "left", "right", "n", "ks").mapInArrow(windows, "key binary, n long, o long, w binary"), "hot-windows")
     discard(core, rows)
     repeated = one.groupBy("w").agg(F.sum("n").alias("t")).filter("t > 1").select("w")
     return one.join(repeated, "w", "left_semi").groupBy("key").agg(F.max("o").alias("back"), (F.lit(length) - F.min("o")).alias("ahead"))

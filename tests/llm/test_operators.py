@@ -458,7 +458,7 @@ def test_repeats_are_removed(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(i, 2_000) for i in range(4)] + [(i, 0) for i in range(4)] + [(5, 3)])
+@pytest.mark.parametrize(("seed", "hot"), [(i, 200_000) for i in range(4)] + [(i, 0) for i in range(4)] + [(5, 3)])
 def test_short_repeats_of_few_letters(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_LEAD", hot)
     monkeypatch.setattr(suffix_dedup, "STEP", 3)
