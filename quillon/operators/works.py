@@ -30,14 +30,16 @@ def group_works(files: DataFrame, keys: list[list[str]], checkpoint=None) -> Dat
 def propose_series(files: DataFrame, least: int = MIN_YEARS) -> DataFrame:
     """source, key, langs, since, until, years: titles equal but for the year that recur in `least` years; languages of one
     publisher merge when the years they share are half of all."""
-    per = files.filter("year is not null").select("source", "lang", series_key(F.col("title")).alias("key"), "year").filter("key <> ''")
-    years = per.groupBy("source", "lang", "key").agg(F.sort_array(F.collect_set("year")).alias("years")).filter(F.size("years") >= least)
-    a, b = years.alias("a"), years.select(F.col("source").alias("s"), F.col("lang").alias("l"), F.col("key").alias("k"), F.col("years").alias("y")).alias("b")
-    alike = F.size(F.array_intersect("years", "y")) / F.size(F.array_union("years", "y")) >= ALIKE
-    leader = a.join(b, (F.col("source") == F.col("s")) & alike & (F.struct(-F.size("y"), F.col("l"), F.col("k")) <= F.struct(-F.size("years"), F.col("lang"), F.col("key"))), "left")
-    chosen = leader.groupBy("source", "lang", "key", "years").agg(F.min(F.struct((-F.size("y")).alias("n"), "l", "k")).alias("to"))
-    merged = chosen.groupBy("source", F.col("to.k").alias("key"), F.col("to.l").alias("first")).agg(F.sort_array(F.collect_set("lang")).alias("langs"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("years")))).alias("years"))
-    return merged.select("source", "key", F.array_join("langs", ",").alias("langs"), F.array_min("years").alias("since"), F.array_max("years").alias("until"), F.size("years").alias("years"))
+    per = files.filter("year is not null").select("source", "lang", series_key(F.col("title")).alias("key"), "year").filter("key <> ''").distinct()
+    own = Window.partitionBy("source", "lang", "key")
+    rows = per.withColumn("n", F.count("*").over(own)).filter(F.col("n") >= least)
+    # shared years are counted over an equi-join on publisher and year; titles that share none can't merge
+    other = rows.select("source", "year", F.col("lang").alias("l"), F.col("key").alias("k"), F.col("n").alias("m"))
+    shared = rows.join(other, ["source", "year"]).groupBy("source", "lang", "key", "n", "l", "k", "m").agg(F.count("*").alias("s"))
+    alike = shared.filter((F.col("s") / (F.col("n") + F.col("m") - F.col("s")) >= ALIKE) & (F.struct(-F.col("m"), F.col("l"), F.col("k")) <= F.struct(-F.col("n"), F.col("lang"), F.col("key"))))
+    leader = alike.groupBy("source", "lang", "key").agg(F.min(F.struct((-F.col("m")).alias("m"), "l", "k")).alias("to"))
+    merged = rows.join(leader, ["source", "lang", "key"]).groupBy("source", F.col("to.k").alias("key"), F.col("to.l").alias("first")).agg(F.sort_array(F.collect_set("lang")).alias("langs"), F.min("year").alias("since"), F.max("year").alias("until"), F.count_distinct("year").cast("int").alias("years"))
+    return merged.select("source", "key", F.array_join("langs", ",").alias("langs"), "since", "until", "years")
 
 
 def editions(series: DataFrame, files: DataFrame, today: int) -> DataFrame:
