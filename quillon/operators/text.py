@@ -26,11 +26,14 @@ def search(counts: DataFrame, words: list[str]) -> DataFrame:
 
 
 def phrase(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, n: how often the words stand one after the other. A token knows its followers from a window of its
-    document's own array, so no join of positions is needed."""
-    own = F.array_remove(F.split(F.lower("text"), TOKEN_GAP), "")
-    k = len(words)
-    found = docs.select("doc_id", own.alias("w")).withColumn("n", F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.slice("w", i, F.lit(k)) == F.array(*[F.lit(x) for x in words]))))
+    """doc_id, n: how often the words stand one after the other, looked up in each document's own array, which is made once."""
+    k, wanted = len(words), F.array(*[F.lit(x) for x in words])
+
+    def count(own: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(own) - k + 1, F.lit(1)))
+        return F.size(F.filter(places, lambda i: (F.get(own, i - 1) == words[0]) & (F.slice(own, i, F.lit(k)) == wanted)))
+
+    found = docs.select("doc_id", F.transform(F.array(own_words()), count)[0].alias("n"))
     return found.filter("n > 0").select("doc_id", F.col("n").cast("long").alias("n"))
 
 

@@ -38,12 +38,10 @@ def append_new(df: DataFrame, target: str, checkpoint: str, key: str) -> None:
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        if number:
-            # earlier batches only: this one's folder may hold a first attempt
-            earlier = [f"{target}/batch={i}" for i in range(number)]
-            have = [p for p in earlier if _exists(spark, p)]
-            if have:
-                fresh = fresh.join(spark.read.schema(batch.schema).parquet(*have).select(key), key, "left_anti")
+        if number and _exists(spark, target):
+            # earlier batches only, which the folder names say: this one's folder may hold a first attempt
+            have = spark.read.parquet(target).filter(F.col("batch") < number).select(key)
+            fresh = fresh.join(have, key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
