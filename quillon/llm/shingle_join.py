@@ -14,7 +14,7 @@ from quillon.llm.storage import discard, materialize, table, unused
 WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union, that is, when 7 * symmetric difference <= sum of sizes.
 #: Entries that one bucket of sketch cells holds about; the number of buckets grows with the texts.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 3_000_000
 FLUSH_ENTRIES = 1_000_000
 #: A cell that so many sets of one flush share passes as rows of its own and not through its bucket's memory.
 HOT_CELL = 1_000
