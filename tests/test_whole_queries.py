@@ -60,10 +60,10 @@ def test_graph_rings_are_over_all_lines(spark, tmp_path):
 
 def brute_rank(sentences):
     """Scores by plain sums over pairs."""
-    bags = [set(s.lower().split()) for s in sentences]
+    bags = [set(s.lower().strip(".").split()) for s in sentences]
     n = len(bags)
-    size = [math.log(max(len(b), 2)) for b in bags]
-    w = [[0.0 if i == j else len(bags[i] & bags[j]) / (size[i] + size[j]) for j in range(n)] for i in range(n)]
+    size = [math.log(len(b)) for b in bags]
+    w = [[0.0 if i == j or len(bags[i]) < 2 or len(bags[j]) < 2 else len(bags[i] & bags[j]) / (size[i] + size[j]) for j in range(n)] for i in range(n)]
     out = [sum(r) or 1 for r in w]
     score = [1.0] * n
     for _ in range(30):
@@ -72,21 +72,26 @@ def brute_rank(sentences):
     return score
 
 
-def test_key_sentences_of_every_block(spark, tmp_path):
+def test_key_sentences_are_sampled_evenly_over_the_whole_unit(spark, tmp_path):
+    """Short and very long sentences, tables and references are left out; of more than 400 every n-th counts, to the end."""
     rng = np.random.default_rng(1)
-    said = {c: [" ".join(f"w{rng.integers(60)}" for _ in range(rng.integers(3, 9))) + "." for _ in range(n)] for c, n in ((1, 850), (2, 400), (3, 401), (4, 2))}
+    word = lambda: "".join("bcdfgk"[i] for i in rng.integers(0, 6, 3))
+    odd = ["too short here.", "See https://a.example/x and https://b.example/y and other places that are listed here.", "Row 12 34 56 78 90 12 34 56 78 90 12."]
+    said = {c: [odd[i % 3] if i % 9 == 4 else " ".join(word() for _ in range(rng.integers(8, 13))) + "." for i in range(n)] for c, n in ((1, 900), (2, 440), (3, 460), (4, 2))}
     turns = [(c, t, "user", " ".join(s[t * 10 : t * 10 + 10])) for c, s in said.items() for t in range(-(-len(s) // 10))]
     sf = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"))
     got = defaultdict(dict)
     for r in QUERIES["key_sentences"](spark, sf).collect():
         assert r["sentence"] == said[r["unit"]][r["place"] - 1]
-        got[r["unit"], (r["place"] - 1) // 400][r["place"]] = r["score"]
-    assert set(got) == {(c, b) for c, s in said.items() for b in range(-(-len(s) // 400))}
-    for (c, b), found in got.items():
-        score = brute_rank(said[c][b * 400 : b * 400 + 400])
-        top = sorted(score, reverse=True)[:3]
+        got[r["unit"]][r["place"]] = r["score"]
+    assert set(got) == set(said)
+    for c, found in got.items():
+        fit = [i for i in range(len(said[c])) if i % 9 != 4]
+        kept = [fit[j * len(fit) // 400] for j in range(400)] if len(fit) > 400 else fit
+        score = dict(zip(kept, brute_rank([said[c][i] for i in kept]), strict=True))
+        top = sorted(score.values(), reverse=True)[:3]
         assert len(found) == len(top) and np.allclose(sorted(found.values(), reverse=True), top, atol=2e-6)
-        assert all(abs(score[p - b * 400 - 1] - s) < 2e-6 for p, s in found.items())
+        assert all(abs(score[p - 1] - s) < 2e-6 for p, s in found.items())
 
 
 def test_name_mentions_leave_out_ordinary_words(spark, tmp_path):
