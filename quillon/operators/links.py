@@ -11,11 +11,11 @@ ADDRESS = r"https?://[^\s<>\"'\])}]+"
 SPANS = 20
 
 
-def match_spans(text: Column, pattern: str, k: int = SPANS) -> Column:
-    """The first k matches as an array of structs found, start (from 0), end: places follow from the lengths of the pieces
-    between the matches."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, k)
-    gaps = F.slice(F.split(text, pattern, -1), 1, k)
+def match_spans(text: Column, pattern: str) -> Column:
+    """All matches as an array of structs found, start (from 0), end: places follow from the lengths of the pieces between the
+    matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.transform(F.slice(gaps, F.lit(1), F.size(found)), lambda g: F.length(g)).alias("gap"))
     zero = F.array().cast("array<struct<found:string,start:int,end:int>>")
 
@@ -26,12 +26,13 @@ def match_spans(text: Column, pattern: str, k: int = SPANS) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)).otherwise(zero)
 
 
-def code_marks(docs: DataFrame, last: int) -> DataFrame:
-    """doc_id, code, n, first: numbers of vulnerabilities with any hyphen, from 1999 to `last`, and where they stand first."""
+def code_marks(docs: DataFrame, last: int, spans: int = SPANS) -> DataFrame:
+    """doc_id, code, n, first, places: numbers of vulnerabilities with any hyphen, from 1999 to `last`, how often and where first;
+    the places of the first `spans` uses of each."""
     pattern = r"(?i)CVE[-‐‑‒–—][0-9]{4}[-‐‑‒–—][0-9]{4,7}"
     marks = docs.select("doc_id", F.explode(match_spans(F.col("text"), pattern)).alias("s"))
     code = F.upper(F.regexp_replace("s.found", "[‐‑‒–—]", "-"))
-    return marks.select("doc_id", code.alias("code"), "s.start").filter(F.substring("code", 5, 4).cast("int").between(1999, last)).groupBy("doc_id", "code").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+    return marks.select("doc_id", code.alias("code"), "s.start").filter(F.substring("code", 5, 4).cast("int").between(1999, last)).groupBy("doc_id", "code").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.slice(F.sort_array(F.collect_list("start")), 1, spans).alias("places"))
 
 
 def technique_marks(docs: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def _marked(spark, sf_dir):
 
 @query("code_marks", f"WITH {_MARKED_SQL}, m AS (SELECT doc_id, upper(regexp_replace(unnest(regexp_extract_all(text, '(?i)CVE[-‐‑‒–—][0-9]{{4}}[-‐‑‒–—][0-9]{{4,7}}')), '[‐‑‒–—]', '-', 'g')) AS code, text FROM t) SELECT doc_id, code, count(*) AS n, (CASE WHEN code LIKE 'CVE-2019-%' THEN 0 ELSE strpos(text, 'CVE‑2021‑') - 1 END)::INTEGER AS first FROM m WHERE CAST(substr(code, 5, 4) AS INTEGER) BETWEEN 1999 AND 2025 GROUP BY doc_id, code, text")
 def code_marks(spark, sf_dir):
-    return links.code_marks(_marked(spark, sf_dir), 2025)
+    return links.code_marks(_marked(spark, sf_dir), 2025).drop("places")
 
 
 @query("technique_marks", f"WITH {_MARKED_SQL}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\bT1[0-9]{{3}}(?:\\.[0-9]{{3}})?\\b')) AS technique FROM t) SELECT doc_id, technique, count(*) AS n, technique IN ('T1059', 'T1020.001', 'T1033.001') AS known FROM m GROUP BY doc_id, technique")

@@ -216,3 +216,11 @@ def test_store_helpers(spark, tmp_path):
     kept = stores.restored({"a": spark.range(3), "b": spark.range(2)}, {"a": F.col("id") == 1})
     assert kept["a"].count() == 2 and kept["b"].count() == 2
     assert '"share": 0.5' in stores.progress_line("index", 1, 2)
+
+
+def test_all_codes_of_a_text_count(spark):
+    from quillon.operators import links
+
+    t = " ".join(f"CVE-2020-{1000 + i % 30}" for i in range(900))
+    got = links.code_marks(spark.createDataFrame([(1, t), (2, None), (3, "cve–2019–1234, CVE-1998-1111")], "doc_id long, text string"), 2025).collect()
+    assert sorted((r["doc_id"], r["code"], r["n"], r["first"], len(r["places"])) for r in got) == sorted([(1, f"CVE-2020-{1000 + i}", 30, 14 * i, 20) for i in range(30)] + [(3, "CVE-2019-1234", 1, 0, 1)])
