@@ -19,14 +19,19 @@ def as_of(asked: DataFrame, known: DataFrame, key: str, at: str, value: str) ->
     return stacked.withColumn(value, F.last("__v", ignorenulls=True).over(order)).filter("__is = 1").drop("__is", "__v")
 
 
-def band_pairs(marks: DataFrame, group: str, at: str, who: str, width: int) -> DataFrame:
+def nearest_second(at: Column) -> Column:
+    """The second that a time is nearest to, since 1970; halves go to the even one."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / 1e6).cast("long")
+
+
+def band_pairs(marks: DataFrame, group: str, at: str, who: str, width: int, mark: str | None = None) -> DataFrame:
     """group, a, b, n: for each mark, each other `who` that has a mark within `width` after it counts once.
 
-    Marks at one place go by name. A mark probes its own cell of `width` places and the next one, an equi-join, so a long
-    document isn't joined with itself.
+    Rows with the same value of the column `mark` are one mark; without it each row is one. Marks at one place go by name. A
+    mark probes its own cell of `width` places and the next one, an equi-join, so a long document isn't joined with itself.
     """
     cell = F.floor(F.col(at) / width)
-    numbered = marks.withColumn("mark", F.monotonically_increasing_id())  # before the probes: both are of one mark
+    numbered = marks.withColumn("mark", F.col(mark) if mark else F.monotonically_increasing_id())  # before the probes: both are of one mark
     left = numbered.select(group, "mark", F.col(at).alias("p"), F.col(who).alias("x"), F.array(cell, cell + 1).alias("cells")).select("*", F.explode("cells").alias("cell"))
     right = marks.select(F.col(group).alias("g"), F.col(at).alias("q"), F.col(who).alias("y"), cell.alias("c"))
     near = left.join(right, (F.col(group) == F.col("g")) & (F.col("cell") == F.col("c"))).filter("x <> y and q - p between 0 and " + str(width)).filter("q > p or y > x")

@@ -78,8 +78,8 @@ _MARKS = "(SELECT event_id, user_id, event_type, CAST(epoch(ts) AS BIGINT) AS se
 @query("join_band", f"""WITH m AS {_MARKS}, p AS (SELECT DISTINCT x.user_id, x.event_id, x.event_type AS a, y.event_type AS b FROM m x JOIN m y ON x.user_id = y.user_id AND x.event_type <> y.event_type AND y.sec BETWEEN x.sec AND x.sec + 3600 AND (y.sec > x.sec OR y.event_type > x.event_type))
 SELECT user_id, least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM p GROUP BY ALL""")
 def join_band(spark, sf_dir):
-    marks = read(spark, sf_dir, "events").select("user_id", "event_type", F.unix_timestamp("ts").alias("at"))
-    return relational.band_pairs(marks, "user_id", "at", "event_type", 3600)
+    marks = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", relational.nearest_second(F.col("ts")).alias("at"))
+    return relational.band_pairs(marks, "user_id", "at", "event_type", 3600, mark="event_id")
 
 
 @query("join_as_of", "SELECT e.event_id, (SELECT max(o.value) FROM events o WHERE o.user_id = e.user_id AND o.event_type = 'purchase' AND o.ts = (SELECT max(i.ts) FROM events i WHERE i.user_id = e.user_id AND i.event_type = 'purchase' AND i.ts <= e.ts)) AS value FROM events e WHERE e.event_type = 'click'")
