@@ -163,7 +163,7 @@ def window_first_last(spark, sf_dir):
 
 @query("window_densest", f"WITH m AS {_MARKS} SELECT user_id, max(n) AS n FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM m) GROUP BY 1")
 def window_densest(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.unix_timestamp("ts")).rangeBetween(-86400, 0)
+    w = Window.partitionBy("user_id").orderBy(relational.nearest_second(F.col("ts"))).rangeBetween(-86400, 0)
     return read(spark, sf_dir, "events").select("user_id", F.count("*").over(w).alias("n")).groupBy("user_id").agg(F.max("n").alias("n"))
 
 

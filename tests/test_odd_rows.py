@@ -33,3 +33,10 @@ def test_join_band_rounds_seconds(spark, tmp_path):
     mine, told = both(spark, tmp_path, "join_band", "events", events(ends))
     assert told == [(u, "a", "b", 1) for u in (2, 4, 5, 6)]  # 1 and 3 are a second too far apart
     assert mine == told
+
+
+def test_window_densest_rounds_seconds(spark, tmp_path):
+    ends = [(1, 0.4, 1, "a"), (2, 86400.6, 1, "a"), (3, 0.6, 2, "a"), (4, 86401.4, 2, "a"), (5, 0.5, 3, "a"), (6, 86401.5, 3, "a"), (7, None, 4, "a"), (8, None, 4, "a"), (9, 3.0, 4, "a")]
+    mine, told = both(spark, tmp_path, "window_densest", "events", events(ends))
+    assert told == [(1, 1), (2, 2), (3, 1), (4, 2)]
+    assert mine == told
