@@ -39,7 +39,7 @@ def scripts(spark, sf_dir):
 x AS (SELECT *, substr(text, l + 1, s - l) AS b, substr(text, e + 1, r - e) AS a FROM c)
 SELECT doc_id, CASE WHEN l > 0 THEN '…' || trim(regexp_replace(regexp_replace(b, '^\S*\s', ''), '\s+', ' ', 'g')) ELSE trim(regexp_replace(b, '\s+', ' ', 'g')) END AS before, substr(text, s + 1, 4) AS match, CASE WHEN r < length(text) THEN trim(regexp_replace(regexp_replace(a, '\s\S*$', ''), '\s+', ' ', 'g')) || '…' ELSE trim(regexp_replace(a, '\s+', ' ', 'g')) END AS after FROM x""")
 def passages(spark, sf_dir):
-    at = F.instr(F.lower("text"), "tion ") - 1
+    at = F.instr(F.translate("text", "TIİON", "tiion"), "tion ") - 1  # lower() would make two characters of İ
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", at.alias("s")).filter("s >= 0")
     return docs.select("doc_id", text.passage(F.col("text"), F.col("s"), F.col("s") + 4).alias("p")).select("doc_id", "p.before", "p.match", "p.after")
 

@@ -40,3 +40,16 @@ def test_window_densest_rounds_seconds(spark, tmp_path):
     mine, told = both(spark, tmp_path, "window_densest", "events", events(ends))
     assert told == [(1, 1), (2, 2), (3, 1), (4, 2)]
     assert mine == told
+
+
+def test_passages_cut_at_white_space(spark, tmp_path):
+    long = "word " * 80
+    texts = [
+        long + "nation " + "x" * 200 + " " + "y" * 54 + " last\n" + long,  # the cut ends with a line feed
+        long + "nation " + "x" * 253 + " last\r\n" + long, "nation a\n", long + "nation\n", "nation a\x0bb \x0b", long + "nation " + "x" * 200 + "\x0b" + "y" * 400,
+        "İİ NATİON b", "ẞ𝄞 é NATION b", "z" * 300 + "\x0b" + "z" * 100 + "tion a\u2028b\u0085", None, "",
+    ]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    mine, told = both(spark, tmp_path, "passages", "documents", table)
+    assert len(told) == 8
+    assert mine == told
