@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.library import TOKEN_GAP
 
 CONTEXT, LONG, UPPER = 6, 5, 6
+#: Rows of a table of names that are sent to every task; longer tables are joined by a shuffle of all tokens.
+MOST_SENT = 500_000
+#: Different first words that tokens are tested for before their surroundings are made.
+MOST_FIRST = 10_000
 #: Words before and after a person's name that make it another thing's name.
 SHIPS = ["uss", "hms", "ss", "mv"]
 NAMED_AFTER = ["street", "airport", "prize", "university", "jr", "sr"]
@@ -62,13 +68,15 @@ def prepared(names: DataFrame, ignore: list[str], generic: list[str]) -> DataFra
     return out.select("actor", "name", "tokens", "manual", "person", F.when(F.col("reason").isNull(), "used").otherwise("ignored").alias("status"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-def marks(docs: DataFrame, ahead: int) -> DataFrame:
+def marks(docs: DataFrame, ahead: int, begins=None) -> DataFrame:
     """doc_id, at, before, words: each token's place, the CONTEXT tokens before it, and it with the `ahead` tokens behind it. A
-    row holds its surroundings and not the text, so the rows of a long document grow with its length alone."""
+    row holds its surroundings and not the text, so the rows of a long document grow with its length alone. With a test
+    begins(token) only tokens that pass it have a row."""
     own = F.array_remove(F.split("text", TOKEN_GAP), "")
 
     def around(words: Column) -> Column:
-        return F.transform(words, lambda _, i: F.struct(i.alias("at"), F.slice(words, F.greatest(i - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), i)).alias("before"), F.slice(words, i + 1, F.lit(ahead + 1)).alias("words")))
+        at = F.transform(words, lambda w, i: F.when(begins(w), i) if begins else i)
+        return F.transform(F.array_compact(at), lambda i: F.struct(i.alias("at"), F.slice(words, F.greatest(i - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), i)).alias("before"), F.slice(words, i + 1, F.lit(ahead + 1)).alias("words")))
 
     places = F.flatten(F.transform(F.array(own), around))  # the words are split once for a document
     return docs.select("doc_id", F.explode(places).alias("p")).select("doc_id", "p.at", "p.before", "p.words")
@@ -78,7 +86,9 @@ def found(docs: DataFrame, names: DataFrame, context: dict[str, list[str]] | Non
     """doc_id, actor, name, at, upto (token places): all matches of names(actor, name, tokens, manual, person), before overlaps
     are settled.
 
-    A token joins the names that begin with it, an equi-join; the words after it are compared in the document's array. Names
+    A token joins the names that begin with it, an equi-join; the words after it are compared in the document's array. Up to
+    MOST_SENT rows of names, which are counted, come to where the document is, so that only hits are shuffled; up to MOST_FIRST
+    different first words are looked for before surroundings are made. Names
     also match in capitals (six letters or more), and hand-added single words with up to three letters of inflection. A
     person's name isn't matched behind a ship's prefix or before a word that makes it a place's or a prize's, and a name with
     context words (context: name -> beginnings) only within six tokens of one.
@@ -89,8 +99,18 @@ def found(docs: DataFrame, names: DataFrame, context: dict[str, list[str]] | Non
     bare = names.filter(F.col("manual") & (F.size("tokens") == 1) & (F.length(F.col("tokens")[0]) >= LONG) & ~is_abbreviation(F.col("tokens")))
     bent = bare.select("actor", "name", "tokens", "person", F.col("tokens")[0].alias("first"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("tail"))
     table = plain.unionByName(upper).unionByName(bent)
-    longest_name = names.agg(F.max(F.size("tokens"))).first()[0] or 1
-    placed = marks(docs, longest_name + CONTEXT).withColumn("word", F.col("words")[0])
+    longest_name, rows = names.agg(F.max(F.size("tokens")), F.count("*")).first()
+    longest_name = longest_name or 1
+    if rows * 5 <= MOST_SENT:  # as written, in capitals, and with three lengths of endings
+        table = F.broadcast(table)
+    firsts = table.groupBy("first").agg(F.max("tail").alias("tail")).filter("first is not null").limit(MOST_FIRST + 1).collect()
+
+    def begins(word: Column) -> Column:
+        bent = [r["first"] for r in firsts if r["tail"]]
+        ends = [F.substring(word, F.lit(1), F.length(word) - k).isin(bent) for k in (1, 2, 3)] if bent else []
+        return reduce(lambda x, y: x | y, ends, word.isin([r["first"] for r in firsts]))
+
+    placed = marks(docs, longest_name + CONTEXT, begins if len(firsts) <= MOST_FIRST else None).withColumn("word", F.col("words")[0])
     tails = F.array(F.struct(F.col("word").alias("first"), F.lit(0).alias("tail")), *[F.when(F.col("word").rlike(rf"\p{{Ll}}{{{k}}}$") & (F.length("word") > k), F.struct(F.expr(f"substring(word, 1, length(word) - {k})").alias("first"), F.lit(k).alias("tail"))) for k in (1, 2, 3)])
     probes = placed.withColumn("probe", F.explode(F.array_compact(tails))).select("doc_id", "before", "words", "at", F.col("probe.first").alias("first"), F.col("probe.tail").alias("tail"))
     hits = probes.join(table, ["first", "tail"])

@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from quillon.operators import matching
 from quillon.plans import ORACLE_SQL, QUERIES
 
 
@@ -53,3 +54,21 @@ def test_passages_cut_at_white_space(spark, tmp_path):
     mine, told = both(spark, tmp_path, "passages", "documents", table)
     assert len(told) == 8
     assert mine == told
+
+
+def test_names_meet_tokens_where_the_document_is(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The North Front and NORTH FRONT met Ertiona"), (1, "Ertio in North"), (2, None), (3, ""), (4, "Front " * 50 + "North Front")], "doc_id long, text string")
+    rows = [("A", "North Front", ["North", "Front"], False, False), ("B", "Ertio", ["Ertio"], True, False), ("C", "Front", ["Front"], False, True)]
+    names = spark.createDataFrame(rows, "actor string, name string, tokens array<string>, manual boolean, person boolean")
+    told = {}
+    for sent, first in ((matching.MOST_SENT, matching.MOST_FIRST), (matching.MOST_SENT, 1), (0, 1)):
+        monkeypatch.setattr(matching, "MOST_SENT", sent)
+        monkeypatch.setattr(matching, "MOST_FIRST", first)
+        hits = matching.found(docs, names)
+        told[sent > 0, first > 1] = sorted(map(tuple, hits.collect())), hits._jdf.queryExecution().optimizedPlan().toString()
+    (mine, sent), (unsifted, _), (shuffled, _) = told.values()
+    assert "strategy=broadcast" in sent  # no exchange of tokens
+    assert (1, "A", "North Front", 4, 6) in mine
+    assert (1, "B", "Ertio", 7, 8) in mine
+    assert len(mine) == 4 + 1 + 51 + 1
+    assert mine == unsifted == shuffled
