@@ -1,12 +1,13 @@
 """Registered queries against their SQL on small tables with odd rows."""
 
 import datetime as dt
+import time
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from quillon.operators import matching
+from quillon.operators import graph, matching
 from quillon.plans import ORACLE_SQL, QUERIES
 
 
@@ -72,3 +73,13 @@ def test_names_meet_tokens_where_the_document_is(spark, monkeypatch):
     assert (1, "B", "Ertio", 7, 8) in mine
     assert len(mine) == 4 + 1 + 51 + 1
     assert mine == unsifted == shuffled
+
+
+def test_louvain_of_many_nodes_takes_steps_by_links():
+    cliques = {(a, b): 1.0 for k in range(0, 6000, 6) for a in range(k, k + 6) for b in range(a + 1, k + 6)}
+    chained = cliques | {(k, k + 6): 0.5 for k in range(0, 2990, 6)} | {(7, 7): 2.0}
+    began = time.process_time()
+    assert graph.louvain(list(range(6000)), cliques) == {x: x - x % 6 for x in range(6000)}
+    found = graph.louvain(list(range(6000)), chained)
+    assert all(len({found[x] for x in range(k, k + 6)}) == 1 for k in range(0, 6000, 6))
+    assert time.process_time() - began < 30  # a matrix of all nodes took minutes
