@@ -69,9 +69,10 @@ def graph_associations(spark, sf_dir):
 
 @query("graph_path")
 def graph_path(spark, sf_dir):
-    edges = ties(spark, sf_dir).withColumn("cost", F.lit(1.0))
-    start, end = graph.leads(edges, least=1).orderBy(F.desc("score"), "a", "b").select("a", "b").first() or (0, 1)
-    found = graph.paths(edges, start, end, checkpoint=_saved)
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    links = _saved(l.join(o, l.l_orderkey == o.o_orderkey).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+    start, end = graph.best_lead(links, _saved, least=1) or (0, 1)
+    found = graph.paths(links.withColumn("cost", F.lit(1.0)), start, end, checkpoint=_saved)
     return found.select(_written("path").alias("path"), "cost")
 
 

@@ -1,11 +1,14 @@
 """Registered queries against their SQL on small tables with odd rows."""
 
 import datetime as dt
+import itertools
 import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from quillon.operators import graph, matching
 from quillon.plans import ORACLE_SQL, QUERIES
@@ -83,3 +86,35 @@ def test_louvain_of_many_nodes_takes_steps_by_links():
     found = graph.louvain(list(range(6000)), chained)
     assert all(len({found[x] for x in range(k, k + 6)}) == 1 for k in range(0, 6000, 6))
     assert time.process_time() - began < 30  # a matrix of all nodes took minutes
+
+
+def test_best_lead_is_the_first_lead_in_parts_and_rounds(spark, tmp_path):
+    """Hubs whose neighbours fill several batches, links between leads, repeated links, loops, nulls and equal scores; ids far apart."""
+    rng = np.random.default_rng(5)
+    count = itertools.count()
+
+    def saved(df):
+        path = f"{tmp_path}/{next(count)}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    for size, far, small in ((60, 2**40, 500), (300, 1, 20_000)):
+        rows = [(int(a) * far, int(b) * far) for a, b in rng.integers(0, size, (size * 4, 2))]
+        rows += [(-1, int(b) * far) for b in range(size)] + [(-2, int(b) * far) for b in range(1, size)] + [(None, 3), (4, None)]
+        edges = spark.createDataFrame(rows, "a long, b long")
+        want = {(h, n): tuple(graph.leads(edges, hub=h, least=n).orderBy(F.desc("score"), "a", "b").select("a", "b").first()) for h, n in ((20, 1), (size + 1, 2))}
+        for (hub, least), pair in want.items():
+            for part, multiple, batch in ((3_000_000, 3, 10_000), (small, 1, 7)):
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+                assert graph.best_lead(edges, saved, hub, least, part, multiple) == pair
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert graph.best_lead(spark.createDataFrame([(1, 1), (1, 2)], "a long, b long"), saved) is None
+
+
+def test_chains_stop_where_they_cost_more_than_the_ends_found(spark):
+    """A dear chain of two steps, a cheap one of four, and an end that isn't reached at all; with a small frontier and with all links."""
+    links = [(1, 2, 5.0), (2, 9, 5.0), (1, 3, 1.0), (3, 4, 1.0), (4, 5, 1.0), (5, 9, 1.0), (9, 10, 1.0), (9, 10, 3.0), (50, 51, 1.0)]
+    edges = spark.createDataFrame(links, "a long, b long, cost double")
+    for pins, few, want in (((1, 9, 50), 7, 1), ((1, 9, 10), 0, 3)):
+        got = graph.chains_between(edges, spark.createDataFrame([(p,) for p in pins], "node long"), steps=4, hub_cost=0.25, few=few).collect()
+        assert len(got) == want and [r["path"] for r in got if r["end"] == 9 and r["start"] == 1] == [[1, 3, 4, 5, 9]]
