@@ -234,17 +234,32 @@ def shared_details(details: DataFrame, least: int = 2) -> DataFrame:
 def company_records(companies: DataFrame, records: DataFrame, least_number: int = 6) -> DataFrame:
     """company, how, records: companies(company, name, country, number, lei) in a register of records(lei, name, country,
     number): by the identifier; else by registration number in the country with a shared word of the name; else by the only
-    record of the same name in the country."""
+    record of the same name in the country.
+
+    Companies that ask the same and records that answer the same meet once, and a list of records is made once for all
+    companies that ask for it: no pair of a company and a record is a row but for identifiers. Only the rows of the result repeat a list.
+    """
     key = name_key(F.col("name"))
-    c = companies.select("company", "country", "number", F.col("lei").alias("own"), key.alias("key"), F.split(key, " ").alias("words"))
-    r = records.select(F.col("lei").alias("record"), F.col("country").alias("r_country"), F.col("number").alias("r_number"), key.alias("r_key"), F.split(key, " ").alias("r_words"))
-    by_id = c.join(r, F.col("own") == F.col("record")).select("company", "record", F.lit(1).alias("rank"))
-    by_number = c.join(r, (F.col("number") == F.col("r_number")) & (F.col("country") == F.col("r_country")) & (F.length("number") >= least_number)).filter(F.arrays_overlap("words", "r_words")).select("company", "record", F.lit(2).alias("rank"))
-    by_name = c.filter(F.length("key") >= 5).join(r, (F.col("key") == F.col("r_key")) & (F.col("country") == F.col("r_country"))).select("company", "record", F.lit(3).alias("rank"))
-    every = by_id.unionByName(by_number).unionByName(by_name).distinct()
-    best = every.join(every.groupBy("company").agg(F.min("rank").alias("rank")), ["company", "rank"])
-    per = best.groupBy("company", "rank").agg(F.sort_array(F.collect_set("record")).alias("r")).filter((F.col("rank") < 3) | (F.size("r") == 1))
-    return per.select("company", F.element_at(F.array(F.lit("lei"), F.lit("registration"), F.lit("name")), F.col("rank")).alias("how"), F.array_join("r", ",").alias("records"))
+    c = companies.filter("company is not null").select("company", "country", "number", F.col("lei").alias("own"), key.alias("key"))
+    r = records.select(F.col("lei").alias("record"), "country", "number", key.alias("key"))
+    by_id = c.join(r, F.col("own") == F.col("record")).groupBy("company").agg(F.array_join(F.sort_array(F.collect_set("record")), ",").alias("records"))
+    rest = c.join(by_id, "company", "left_anti")
+
+    numbered = rest.filter(F.length("number") >= least_number).filter("country is not null and key is not null")
+    asks = numbered.groupBy("company").agg(F.sort_array(F.collect_set(F.struct("number", "country", "key"))).alias("asks"))
+    each = asks.select("asks").distinct().select("asks", F.inline("asks"))
+    answers = r.groupBy("number", "country", "key").agg(F.collect_set("record").alias("found"))
+    words = lambda k: F.split(k, " ")
+    met = each.select("number", "country", "key").distinct().join(answers.select("number", "country", F.col("key").alias("r_key")), ["number", "country"]).filter(F.arrays_overlap(words("key"), words("r_key")))
+    lists = each.join(met, ["number", "country", "key"]).select("asks", "number", "country", F.col("r_key").alias("key")).distinct().join(answers, ["number", "country", "key"])
+    listed = lists.groupBy("asks").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), ",").alias("records"))
+    by_number = asks.join(listed, "asks").select("company", "records")
+
+    same = r.filter(F.length("key") >= 5).groupBy("key", "country").agg(F.min("record").alias("low"), F.max("record").alias("high"))
+    named = rest.join(same, ["key", "country"]).groupBy("company").agg(F.min("low").alias("records"), F.max("high").alias("high")).filter("records = high")
+    answered = asks.join(each.join(met, ["number", "country", "key"], "left_semi").select("asks"), "asks", "left_semi")
+    by_name = named.join(answered, "company", "left_anti").select("company", "records")
+    return by_id.select("company", F.lit("lei").alias("how"), "records").unionByName(by_number.select("company", F.lit("registration").alias("how"), "records")).unionByName(by_name.select("company", F.lit("name").alias("how"), "records"))
 
 
 def offshore_records(subjects: DataFrame, nodes: DataFrame, most: int = 3) -> DataFrame:

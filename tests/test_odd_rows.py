@@ -118,3 +118,36 @@ def test_chains_stop_where_they_cost_more_than_the_ends_found(spark):
     for pins, few, want in (((1, 9, 50), 7, 1), ((1, 9, 10), 0, 3)):
         got = graph.chains_between(edges, spark.createDataFrame([(p,) for p in pins], "node long"), steps=4, hub_cost=0.25, few=few).collect()
         assert len(got) == want and [r["path"] for r in got if r["end"] == 9 and r["start"] == 1] == [[1, 3, 4, 5, 9]]
+
+
+def most_rows(df):
+    """The most rows that one node of a collected DataFrame's plan gave."""
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        inner = next((get for kind, get in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan")) if kind in node.nodeName()), None)
+        left += [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_company_records_makes_no_pair_of_a_company_and_a_record(spark):
+    """Companies of two names, records of one identifier, nulls, and a number that all companies and records have."""
+    names = ["Alfa Bravo", "Bravo  Carlo", "Delta", "Echo Golf", None, ""]
+    companies = [(i, names[i % 6], i % 2, "100001" if i % 3 else None, f"R{i}" if i % 50 == 0 else None) for i in range(600)]
+    companies += [(7, "Delta", 0, "100001", None), (708, "India Julia", 5, None, None), (709, "Kilos", 6, "12", None), (700, "India", 5, None, None), (701, "India", 5, "100001", None), (None, "Delta", 0, "100001", "R0"), (702, "Delta", None, "100001", None)]
+    records = [(f"R{i}", names[i % 5], i % 2, "100001" if i % 4 else None) for i in range(600)] + [("R1", "Delta", 0, "100001"), ("R1", "Delta", 0, "100001"), ("X1", "India Julia", 5, None), ("X2", "India", 5, None), ("X3", "India", 5, None), ("X4", "Kilos", 6, "12")]
+    words = lambda name: (name or "").lower().split() or [""]
+    want = {}
+    for company, name, country, number, lei in companies:
+        for record, of, where, its in records if company is not None else []:
+            here = country == where and country is not None and name is not None and of is not None
+            rank = 0 if lei == record else 1 if here and number == its and len(number or "") >= 6 and {*words(name)} & {*words(of)} else 2 if here and words(name) == words(of) and len(" ".join(words(of))) >= 5 else None
+            if rank is not None:
+                want.setdefault(company, {}).setdefault(rank, set()).add(record)
+    want = {(c, ("lei", "registration", "name")[min(by)], ",".join(sorted(by[min(by)]))) for c, by in want.items() if min(by) < 2 or len(by[2]) == 1}
+    df = matching.company_records(spark.createDataFrame(companies, "company long, name string, country long, number string, lei string"), spark.createDataFrame(records, "lei string, name string, country long, number string")).select("company", "how", "records")
+    got = [tuple(r) for r in df.collect()]
+    assert sorted(got) == sorted(want) and {how for _, how, _ in got} == {"lei", "registration", "name"}
+    assert most_rows(df) < 2000  # 39,308 where companies meet records by number one by one
