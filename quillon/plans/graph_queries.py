@@ -44,7 +44,7 @@ def graph_components(spark, sf_dir):
 
 @query("graph_leads", f"WITH {_NEAR}, w AS (SELECT a AS w, 1 / ln(count(*)) AS v FROM near GROUP BY a HAVING count(*) BETWEEN 2 AND 200) SELECT x.b AS a, y.b AS b, count(*) AS shared, round(sum(v), 6) AS score FROM near x JOIN near y ON x.a = y.a AND x.b < y.b JOIN w ON w.w = x.a WHERE NOT EXISTS (SELECT 1 FROM near z WHERE z.a = x.b AND z.b = y.b) GROUP BY ALL HAVING count(*) >= 2")
 def graph_leads(spark, sf_dir):
-    return graph.leads(ties(spark, sf_dir))
+    return graph.all_leads(_links(spark, sf_dir), _saved)
 
 
 @query("graph_brokers", f"WITH {_NEAR}, d AS (SELECT p_partkey * 2 + 1 AS node, p_brand AS domain FROM part UNION ALL SELECT c_custkey * 2, c_mktsegment FROM customer), c AS (SELECT a, domain, count(*) AS n FROM near JOIN d ON node = b GROUP BY ALL) SELECT a AS node, array_to_string(list(n ORDER BY n DESC), ',') AS reach, list(n ORDER BY n DESC)[2] AS score FROM c GROUP BY a HAVING count(*) >= 2")
@@ -69,13 +69,18 @@ def graph_associations(spark, sf_dir):
 
 @query("graph_path")
 def graph_path(spark, sf_dir):
-    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    links = _saved(l.join(o, l.l_orderkey == o.o_orderkey).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+    links = _links(spark, sf_dir)
     start, end = graph.best_lead(links, _saved, least=1) or (0, 1)
     found = graph.paths(links.withColumn("cost", F.lit(1.0)), start, end, checkpoint=_saved)
     return found.select(_written("path").alias("path"), "cost")
 
 
+def _links(spark, sf_dir) -> DataFrame:
+    """The ties without layers, repeats included."""
+    o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    return _saved(l.join(o, l.l_orderkey == o.o_orderkey).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")))
+
+
 def _saved(df: DataFrame) -> DataFrame:
     return keep(df, "frontier")
 

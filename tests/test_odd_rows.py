@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import graph, matching
 from quillon.plans import ORACLE_SQL, QUERIES
+from quillon.sources.shared import keep
 
 
 def both(spark, folder, query, name, table):
@@ -151,3 +152,26 @@ def test_company_records_makes_no_pair_of_a_company_and_a_record(spark):
     got = [tuple(r) for r in df.collect()]
     assert sorted(got) == sorted(want) and {how for _, how, _ in got} == {"lei", "registration", "name"}
     assert most_rows(df) < 2000  # 39,308 where companies meet records by number one by one
+
+
+def lead_rows(df):
+    return sorted(tuple(r) for r in df.select("a", "b", "shared", "score").collect())
+
+
+def test_all_leads_are_the_leads_in_parts_and_rounds(spark):
+    rng = np.random.default_rng(9)
+    for size, far, small in ((40, 2**40, 300), (200, 1, 10_000)):
+        rows = [(int(a) * far, int(b) * far) for a, b in rng.integers(0, size, (size * 4, 2))]
+        rows += [(-1, int(b) * far) for b in range(size)] + [(None, 3), (4, None), (5, 5)]
+        edges = spark.createDataFrame(rows, "a long, b long")
+        for hub, least in ((20, 1), (size + 1, 2)):
+            want = lead_rows(graph.leads(edges, hub=hub, least=least))
+            assert want
+            for part, multiple in ((3_000_000, 3), (small, 1)):
+                assert lead_rows(graph.all_leads(edges, lambda df: keep(df, "test"), hub, least, part, multiple)) == want
+    assert lead_rows(graph.all_leads(spark.createDataFrame([(1, 1), (1, 2)], "a long, b long"), lambda df: keep(df, "test"))) == []
+
+
+def test_graph_leads_makes_no_pair_that_is_no_lead(spark):
+    df = QUERIES["graph_leads"](spark, "/root/testdata/sf0.001")
+    assert most_rows(df) <= 0 < len(rows := df.collect()) and most_rows(df) <= len(rows)  # wedges were rows of the plan
