@@ -54,9 +54,9 @@ def pair_scope(spark, sf_dir):
 @query("supplier_leads", "WITH e AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS a, 'p' || CAST(l_partkey AS VARCHAR) AS b FROM lineitem), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS w, 1 / ln(count(*)) AS v FROM n JOIN (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS node FROM part WHERE p_partkey % 5 <> 0) ON node = a GROUP BY a HAVING count(*) BETWEEN 2 AND 200) SELECT x.b AS a, y.b AS b, count(*) AS shared, round(sum(v), 6) AS score FROM n x JOIN n y ON x.a = y.a AND x.b < y.b JOIN w ON w.w = x.a WHERE NOT (x.b = 's1' AND y.b = 's2') GROUP BY x.b, y.b HAVING count(*) >= 2")
 def supplier_leads(spark, sf_dir):
     name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
-    edges = read(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b")).distinct()
+    edges = read(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("a"), name("p", "l_partkey").alias("b"))
     kinds = read(spark, sf_dir, "supplier").select(name("s", "s_suppkey").alias("node"), F.lit("actor").alias("kind")).unionByName(read(spark, sf_dir, "part").select(name("p", "p_partkey").alias("node"), F.when(F.col("p_partkey") % 5 == 0, "tool").otherwise("place").alias("kind")))
-    return graph.named_leads(edges, kinds, spark.createDataFrame([("s1", "s2")], "a string, b string"), ["actor"], ["tool"])
+    return graph.named_leads(edges, kinds, spark.createDataFrame([("s1", "s2")], "a string, b string"), ["actor"], ["tool"], lambda df: keep(df, "leads"))
 
 
 @query("actor_clusters")

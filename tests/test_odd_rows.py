@@ -175,3 +175,34 @@ def test_all_leads_are_the_leads_in_parts_and_rounds(spark):
 def test_graph_leads_makes_no_pair_that_is_no_lead(spark):
     df = QUERIES["graph_leads"](spark, "/root/testdata/sf0.001")
     assert most_rows(df) <= 0 < len(rows := df.collect()) and most_rows(df) <= len(rows)  # wedges were rows of the plan
+
+
+def test_named_leads_are_those_of_the_rule_in_parts_and_rounds(spark):
+    """Nodes of two kinds, of none and of no row, tools, hubs, links between ends, repeats, loops and nulls; names of any length."""
+    rng = np.random.default_rng(3)
+    node = lambda i: f"{'xyz'[i % 3] * (i % 4 + 1)}{i}"
+    rows = [(node(int(a)), node(int(b))) for a, b in rng.integers(0, 60, (300, 2))] + [("hub", node(b)) for b in range(60)] + [(None, node(1)), (node(2), None), (node(3), node(3))]
+    kinds = [(node(i), ("actor", "place", "tool", None)[i * 7 % 4]) for i in range(55)] + [(node(0), "place"), (node(2), "actor"), (node(14), "actor"), ("hub", "place"), ("alone", "actor"), (node(0), "actor")]
+    together = [tuple(sorted((node(a), node(b)))) for a in range(0, 60, 4) for b in range(0, 60, 12) if a != b]
+    near = {}
+    for a, b in rows:
+        if a and b and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    ends, via = {n for n, k in kinds if k == "actor"}, {n for n, k in kinds if k not in ("tool", None)}
+    edges = spark.createDataFrame(rows, "a string, b string")
+    frames = spark.createDataFrame(kinds, "node string, kind string"), spark.createDataFrame(together, "a string, b string")
+    for hub, least, part, multiple in ((200, 1, 3_000_000, 3), (12, 2, 40, 1)):
+        met = {}
+        for w in via & near.keys():
+            for a, b in itertools.combinations(sorted(near[w] & ends), 2) if 2 <= len(near[w]) <= hub else []:
+                met.setdefault((a, b), []).append(1 / np.log(len(near[w])))
+        want = [(*p, len(v), round(sum(v), 6)) for p, v in sorted(met.items()) if len(v) >= least and p[1] not in near[p[0]] and p not in together]
+        got = lead_rows(graph.named_leads(edges, *frames, ["actor"], ["tool"], lambda df: keep(df, "test"), hub, least, part, multiple))
+        assert want and [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], atol=1.1e-6)
+
+
+def test_supplier_leads_makes_no_pair_that_is_no_lead(spark):
+    df = QUERIES["supplier_leads"](spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    assert rows and most_rows(df) <= 1000  # the rows of names; links were 6,000 rows of the plan, and wedges more
